@@ -120,17 +120,28 @@ def _folded_table() -> np.ndarray:
 PLAIN, FOLDED = _plain_table(), _folded_table()
 
 
+def _marks(data: np.ndarray) -> np.ndarray:
+    """Positions of the bytes of U+0080 to U+00BF and U+2000 to U+207F."""
+    two = np.flatnonzero(data == 0xC2)
+    three = np.flatnonzero(data == 0xE2)
+    three = three[(data[three + 1] & 0xFE) == 0x80]
+    return np.concatenate([two, two + 1, three, three + 1, three + 2])
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray, fold: bool = False):
     """(hash, first byte, byte after the last, document row) of each token.
 
-    A token is a run of bytes above 0x20, or with `fold` a run of ASCII
-    letters and digits in lower case and of non-ASCII bytes. Texts are never
-    joined: a token ends where its document ends."""
+    A token is a run of bytes above 0x20, or with `fold` a run of ASCII letters
+    and digits, in lower case, and of other characters but U+0080 to U+00BF and
+    U+2000 to U+207F (spaces, quotes, dashes). Texts are never joined: a token
+    ends where its document ends."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
     code = (FOLDED if fold else PLAIN)[data]
+    if fold:
+        code[_marks(data)] = 0
     solid = code != 0
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -172,3 +183,26 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     total = int(length.sum())
     ends = np.cumsum(length)
     return np.arange(total) + np.repeat(start - (ends - length), length)
+
+
+#: Between two folded tokens, as a regular expression of DuckDB, Java and Python.
+FOLD_BREAK = r"[\x00-/:-@\[-`{-\x7f\u0080-\u00bf\u2000-\u207f]+"
+#: The same for DuckDB.
+FOLD_BREAK_SQL = r"[\x00-/:-@\[-`{-\x7f\x{80}-\x{bf}\x{2000}-\x{207f}]+"
+
+
+def member(values: np.ndarray, known: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted `known`; bitmap from bitmap_of(known)."""
+    maybe = np.flatnonzero(bitmap[(values & np.uint64(len(bitmap) - 1)).astype(np.int64)])
+    out = np.zeros(len(values), bool)
+    if len(known) and len(maybe):
+        at = np.searchsorted(known, values[maybe])
+        out[maybe] = known[np.minimum(at, len(known) - 1)] == values[maybe]
+    return out
+
+
+def bitmap_of(known: np.ndarray) -> np.ndarray:
+    size = 1 << max(16, int(len(known) * 16).bit_length())
+    out = np.zeros(size, bool)
+    out[(known & np.uint64(size - 1)).astype(np.int64)] = True
+    return out
