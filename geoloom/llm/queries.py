@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hyperminhash
+from . import decontaminate, hyperminhash, license, pii, substring
 from .common import table
 
 
@@ -14,8 +14,32 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii(table(spark, sf_dir, "documents"))
+
+
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": near_dedup,
+    "op4_pii": find_pii,
+    "op5_substring_dedup": substring_dedup,
+    "op7_decontamination": decontamination,
+    "op10_license_scan": license_scan,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_substring_dedup": substring.SQL,
+    "op7_decontamination": decontaminate.SQL,
+    "op10_license_scan": license.SQL,
+}
