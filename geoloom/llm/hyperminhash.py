@@ -196,20 +196,27 @@ def _verified(threshold: float):
     return run
 
 
-def _exact(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, threshold: float, size: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least the Jaccard threshold."""
+def _exact(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, sets: DataFrame | None, threshold: float, size: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) whose shingle sets have at least the Jaccard threshold,
+    and the sets (id, items) read for it; `sets` are known already.
+
+    The hub side `a`, where keys repeat, is joined before `b`, so that the wide
+    rows are shuffled by the side that is spread. The texts' side always takes
+    the shuffle, whatever its size, and just once for each document."""
     s = sketches.select("doc_id", "size", "sig")
     hopeful = staged(
         pairs.join(s.toDF("a", "na", "sa"), "a").join(s.toDF("b", "nb", "sb"), "b").mapInArrow(_hopeful(threshold), "a bigint, b bigint"),
         f"{name}-hopeful",
     )
     ids = hopeful.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(size), "id bigint, items binary")
-    sets = staged(sets, f"{name}-sets")
-    both = hopeful.join(sets.toDF("b", "ib"), "b").join(sets.toDF("a", "ia"), "a")
+    if sets is not None:
+        ids = ids.join(sets.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+    read = staged(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(size), "id bigint, items binary"), f"{name}-sets")
+    known = read if sets is None else read.union(sets)
+    both = hopeful.join(known.toDF("a", "ia"), "a").join(known.toDF("b", "ib"), "b")
     out = staged(both.mapInArrow(_verified(threshold), "a bigint, b bigint"), f"{name}-edges")
-    discard(hopeful, sets)
-    return out
+    discard(hopeful)
+    return out, read
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -257,7 +264,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     buckets = keyed.select("*", F.min("doc_id").over(hub).alias("hub"), F.max("doc_id").over(hub).alias("top")).where("hub <> top")
     buckets = staged(buckets.select("doc_id", "band", "key", "hub"), "buckets")
     tested = staged(buckets.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "tested")
-    edges = _exact(docs, tested, sketches, threshold, size, "star")
+    edges, sets = _exact(docs, tested, sketches, None, threshold, size, "star")
     groups = staged(components(edges), "groups")
 
     label = groups.select("doc_id", F.col("group_id").alias("g"))
@@ -267,10 +274,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     x, y = left.select("band", "key", F.col("doc_id").alias("a"), F.col("g").alias("ga")), left.select("band", "key", F.col("doc_id").alias("b"), F.col("g").alias("gb"))
     rest = x.join(y, ["band", "key"]).where("a < b AND ga <> gb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
     rest = staged(rest, "rest")
-    more = _exact(docs, rest, sketches, threshold, size, "rest")
+    more, others = _exact(docs, rest, sketches, sets, threshold, size, "rest")
     links = groups.select(F.col("doc_id").alias("a"), F.col("group_id").alias("b")).union(more).union(exact.toDF("a", "b"))
     out = staged(components(links), "near")
-    discard(sketches, exact, buckets, tested, edges, groups, rest, more)
+    discard(sketches, exact, buckets, tested, edges, sets, groups, rest, more, others)
     return out.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hyperminhash, license, pii, substring
+from . import decontaminate, hyperminhash, license, pii, sentencepiece, substring
 from .common import table
 
 
@@ -26,6 +26,10 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def sentencepiece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encoded(table(spark, sf_dir, "documents"))
+
+
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.licenses(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": find_pii,
     "op5_substring_dedup": substring_dedup,
     "op7_decontamination": decontamination,
+    "op8_sentencepiece": sentencepiece_ids,
     "op10_license_scan": license_scan,
 }
 
