@@ -65,7 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op5_substring_dedup": substring.SQL,
-    "op6_url_filter": url_filter,
     "op7_decontamination": decontaminate.SQL,
     "op10_license_scan": license.SQL,
 }
