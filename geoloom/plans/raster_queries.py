@@ -118,12 +118,12 @@ def recovery_ratio(spark: SparkSession, d: str) -> DataFrame:
     return r.select("cell", "year", *_r(ratio="r", vulnerability=R.post_fire_vulnerability("v", "burn", "r")))
 
 
-@query(f"""WITH {CELLS}, k AS (SELECT CAST({_classes('elevation', (950, 1000, 1050))} AS INT) * 10 + CAST({_classes('slope', (10, 25))} AS INT) AS stratum, cell, slope, elevation, kind LIKE '%STEEL' AS treated FROM cells),
+@query(f"""WITH {CELLS}, k AS (SELECT CAST({_classes('elevation', (950, 1000, 1050))} AS INT) * 10 + CAST({_classes('slope', (10, 25))} AS INT) AS stratum, cell, slope, elevation, kind = 'PROMO' AS treated FROM cells),
 kept AS (SELECT * FROM k WHERE treated OR stratum IN (SELECT stratum FROM k WHERE treated))
 SELECT m.name AS layer, round(avg(CASE WHEN treated THEN m.v END), 6) AS treated_mean, round(avg(CASE WHEN NOT treated THEN m.v END), 6) AS control_mean
 FROM (SELECT 'slope' AS name, slope AS v, treated FROM kept UNION ALL SELECT 'elevation', elevation, treated FROM kept) m GROUP BY m.name""")
 def matched_controls(spark: SparkSession, d: str) -> DataFrame:
-    k = cells(spark, d).withColumns({"stratum": R.stratum(classed("elevation", (950, 1000, 1050)), classed("slope", (10, 25))), "treated": F.col("kind").like("%STEEL")})
+    k = cells(spark, d).withColumns({"stratum": R.stratum(classed("elevation", (950, 1000, 1050)), classed("slope", (10, 25))), "treated": F.col("kind") == "PROMO"})
     kept = Z.matched(k, "stratum", "treated")
     out = Z.balance(kept, "treated", ["slope", "elevation"])
     return out.select("layer", *_r(treated_mean="treated_mean", control_mean="control_mean"))
