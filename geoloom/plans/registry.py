@@ -23,5 +23,5 @@ def query(sql: str | None = None):
     return add
 
 
-for _name in ("raster", "temporal", "spatial", "index", "trend"):
+for _name in ("raster", "temporal", "spatial", "index", "trend", "terrain", "governed"):
     import_module(f"geoloom.plans.{_name}_queries")
