@@ -3,6 +3,7 @@ token hashing and intermediate tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,20 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except AttributeError:  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return the memory that freed arrays leave in a worker's heap: workers
+    live on between tasks beside others on the same executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about `limit` bytes of text. A row is
     never cut: a longer text makes a run of its own."""
@@ -65,6 +80,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         end = max(at + 1, int(np.searchsorted(total, base + limit, "right")))
         yield batch.slice(at, end - at)
         at = end
+    give_back()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

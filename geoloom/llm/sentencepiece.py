@@ -47,7 +47,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
-KEEP = 400_000
+#: Units, and pairs of pieces, that a process remembers; then it forgets and learns anew.
+KEEP, KEEP_PAIRS = 100_000, 800_000
 
 
 class Model:
@@ -267,7 +268,7 @@ class Model:
             units += found
         if len(self.known) > KEEP:
             self.forget()
-        if len(self.compatible) > 2 * KEEP:
+        if len(self.compatible) > KEEP_PAIRS:
             self.compatible = {}
         fresh = list(set(units) - self.known.keys())
         if fresh:
@@ -322,7 +323,7 @@ def _encode(data: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(data)
         for whole in batches:
-            for part in slices(whole):
+            for part in slices(whole, limit=1 << 20):
                 texts = part.column("text")
                 ids, counts = model.encode(texts.to_pylist())
                 back, size = model.decode(ids, counts)
