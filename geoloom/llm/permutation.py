@@ -83,11 +83,15 @@ def _orders(shared, prefix: int):
     return run
 
 
+def _rows(ids: list, near: list, cosines: list) -> pd.DataFrame:
+    return pd.DataFrame({"vec_id": np.array(ids, np.int64), "ids": pd.Series(near, dtype=object), "cosines": pd.Series(cosines, dtype=object)})
+
+
 def _tile(k: int, prefix: int, reach: float, count: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q, x = pdf[pdf["is_q"]], pdf[pdf["is_x"]]
         if not len(q) or not len(x):
-            return pd.DataFrame({"vec_id": pd.Series([], dtype="int64"), "ids": [], "cosines": []})
+            return _rows([], [], [])
         wide = min(prefix, count)
         xs, xp, xid = np.stack(x["v"].to_numpy()).astype(np.float64), np.stack(x["pivots"].to_numpy()), x["vec_id"].to_numpy()
         qs, qp, qid = np.stack(q["v"].to_numpy()).astype(np.float64), np.stack(q["pivots"].to_numpy()), q["vec_id"].to_numpy()
@@ -111,7 +115,7 @@ def _tile(k: int, prefix: int, reach: float, count: int):
                     out_q.append(qid[at + i])
                     out_ids.append(xid[near[best]])
                     out_cos.append(c[best])
-        return pd.DataFrame({"vec_id": np.array(out_q, np.int64), "ids": out_ids, "cosines": out_cos})
+        return _rows(out_q, out_ids, out_cos)
 
     return run
 
