@@ -51,6 +51,13 @@ def lookup(x, values: dict) -> Column:
     return F.try_element_at(F.create_map(*pairs), _c(x))
 
 
+def correlation(a, b) -> Column:
+    """Pearson's correlation as an aggregate; NULL where a side doesn't vary."""
+    both = _c(a).isNotNull() & _c(b).isNotNull()
+    a, b = F.when(both, _c(a)), F.when(both, _c(b))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def water_year(day, first_month: int = 10) -> Column:
     """The year in which the water year of a date ends."""
     day = _c(day)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from geoloom.functions.columns import correlation
+
 
 def zonal(df: DataFrame, zone: str, value: str, above: float, least: int = 1) -> DataFrame:
     """(zone, n_cells, mean, max, pct_of_zone, pct_of_grid) of zones with at
@@ -97,7 +99,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
         return F.rank().over(w) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
 
     r = df.select(ranked(a).alias("ra"), ranked(b).alias("rb"))
-    return r.agg(F.when(F.count("*") > 2, F.corr("ra", "rb")).alias("rho"), F.count("*").alias("n"))
+    return r.agg(F.when(F.count("*") > 2, correlation("ra", "rb")).alias("rho"), F.count("*").alias("n"))
 
 
 def recovery_by_class(df: DataFrame, klass: str, year: str, value: str, before: str, least: int = 100, floor: float = 0.05) -> DataFrame:

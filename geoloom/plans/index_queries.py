@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.functions.columns import correlation
 from geoloom.operators import composite as C
 
 from .registry import query
@@ -115,11 +116,11 @@ def rank_stability(spark: SparkSession, d: str) -> DataFrame:
     return C.rank_stability(_sensitivity(spark, d), "id").withColumn("stability", F.round("stability", 6))
 
 
-@query(f"""WITH {_IND}, pairs AS (SELECT a.indicator AS first, b.indicator AS second, corr(a.value, b.value) AS r FROM long a JOIN long b ON a.id = b.id AND a.indicator < b.indicator GROUP BY 1, 2) SELECT first, second, round(r, 6) AS r FROM pairs""")
+@query(f"""WITH {_IND}, pairs AS (SELECT a.indicator AS first, b.indicator AS second, corr(a.value, b.value) AS r FROM long a JOIN long b ON a.id = b.id AND a.indicator < b.indicator GROUP BY 1, 2) SELECT first, second, CASE WHEN NOT isnan(r) THEN round(r, 6) END AS r FROM pairs""")
 def indicator_correlations(spark: SparkSession, d: str) -> DataFrame:
     wide = indicators(spark, d)
     pairs = [(a, b) for a in sorted(NAMES) for b in sorted(NAMES) if a < b]
-    one = wide.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    one = wide.agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
     return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.round(F.col(f"`{a}|{b}`"), 6).alias("r")) for a, b in pairs])))
 
 
