@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
 _ODD = 0x9E3779B97F4A7C15
 _P = 0xD6E8FEB86659FD93
 _powers: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
@@ -34,12 +36,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES):
+    """Plans run inside send Arrow batches of at most so many bytes to Python:
+    wide rows fill Spark's 64 MB, which JVM and worker hold several times over."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the
     lineage, survives lost executors and is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/geoloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
