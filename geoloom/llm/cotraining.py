@@ -43,6 +43,7 @@ from .common import bitmap_of, member, slices, tokens, utf8
 
 LABELLED, POOL, ROUNDS, WORDS, CONFIDENT, THRESHOLD = 10_000, 4_000, 3, 512, 0.97, 0.5
 LEAST_DOCS, LEAST_G, BINS = 6, 12.0, 16
+SHAPES = 10
 META = (("source", 256), ("lang", 64), ("n_chars", 32))
 
 
@@ -112,14 +113,18 @@ def meta_features(batch: pa.RecordBatch) -> np.ndarray:
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Weights, the last being the intercept, by Newton's method; L2 penalty on all but the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.full(len(w), penalty)
     ridge[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        s = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x * s[:, None].astype(x.dtype)).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        curve, slope = np.diag(ridge), -ridge * w
+        for at in range(0, len(x), 2000):
+            part = x[at : at + 2000].astype(np.float64)
+            part = np.hstack([part, np.ones((len(part), 1))])
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            slope = slope + part.T @ (y[at : at + 2000] - p)
+            curve += (part * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ part
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -147,20 +152,23 @@ class TextView:
         g = sum(2 * np.where(c > 0, c * np.log(np.maximum(c, 1e-9) * total / np.maximum(a * b, 1e-9)), 0) for c, a, b in cells)
         g[met < LEAST_DOCS] = 0
         best = np.argsort(-g, kind="stable")[:WORDS]
-        self.words = np.sort(kinds[best[g[best] >= LEAST_G]])
+        self.words = np.sort(kinds[best[g[best] >= LEAST_G]]).astype(np.uint64)
         self.bitmap = bitmap_of(self.words)
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in shapes[use].T]
         self.base = len(self.words) + np.append(0, np.cumsum([len(e) + 1 for e in self.edges]))
         x = np.zeros((len(use), self.base[-1]), np.float32)
-        known = member(w, self.words, self.bitmap)
+        known = self._known(w)
         x[r[known], np.searchsorted(self.words, w[known])] = 1
         for i, e in enumerate(self.edges):
             x[np.arange(len(use)), self.base[i] + np.searchsorted(e, shapes[use, i], "left")] = 1
         self.weights = logistic(x, y)
         return self
 
+    def _known(self, word: np.ndarray) -> np.ndarray:
+        return member(word.astype(np.uint64, copy=False), self.words, self.bitmap)
+
     def logit(self, shapes: np.ndarray, row: np.ndarray, word: np.ndarray) -> np.ndarray:
-        known = member(word, self.words, self.bitmap)
+        known = self._known(word)
         out = np.bincount(row[known], self.weights[np.searchsorted(self.words, word[known])], len(shapes)) + self.weights[-1]
         for i, e in enumerate(self.edges):
             out += self.weights[self.base[i] + np.searchsorted(e, shapes[:, i], "left")]
@@ -280,11 +288,13 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     got = got.take(pa.array(by))
     n = got.num_rows
     read = lambda c, kind: np.frombuffer(b"".join(got.column(c).to_pylist()), kind)
-    word = read("words", "<u4").astype(np.uint64)
-    row = np.repeat(np.arange(n), np.array([len(x) // 4 for x in got.column("words").to_pylist()], np.int64))
+    word = read("words", "<u4")
+    row = np.repeat(np.arange(n, dtype=np.int32), np.array([len(x) // 4 for x in got.column("words").to_pylist()], np.int64))
     doc_id = got.column("doc_id").to_numpy()
     aside = (doc_id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(4) == 0
-    return cotrained(read("shapes", "<f8").reshape(n, -1), row, word, read("meta", "<i8").reshape(n, -1), got.column("label").to_numpy(), aside, rounds)
+    shapes, meta, label = read("shapes", "<f8").reshape(n, SHAPES), read("meta", "<i8").reshape(n, len(META)), got.column("label").to_numpy()
+    del got
+    return cotrained(shapes, row, word, meta, label, aside, rounds)
 
 
 def _score(shared, threshold: float):
