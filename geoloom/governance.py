@@ -251,3 +251,15 @@ def acknowledgment(nation: str, authority: str, on: date | None = None) -> str:
 
 def masking_note() -> str:
     return "Masking a place is not enough: the mask's outline, gaps in a grid and repeated releases can all give the place away; what may be told is for the community to say."
+
+
+def two_framings(vulnerability, capacity):
+    """A text column that gives a vulnerability score and a capacity index side
+    by side; NULL where either is missing."""
+    text = F.format_string("vulnerability %.2f and capacity %.2f; one is not the opposite of the other, and either alone misleads", F.col(vulnerability).cast("double"), F.col(capacity).cast("double"))
+    return F.when(F.col(vulnerability).isNotNull() & F.col(capacity).isNotNull(), text)
+
+
+def ocap_note() -> str:
+    """How to cite the OCAP principles."""
+    return "OCAP (ownership, control, access, possession) is a registered trademark of the First Nations Information Governance Centre. A nation's own codes and review come first; none should be taken to have adopted it."

@@ -158,3 +158,10 @@ def test_publish(spark, tmp_path):
         sinks.publish(spark.range(2), str(tmp_path / "r"), k, False, "x")
     sinks.publish(spark.range(2), str(tmp_path / "r"), k, True, "minutes", G.Provenance("t", ("a",)))
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 2
+
+
+def test_notes(spark):
+    d = spark.createDataFrame([(0.7, 0.85), (None, 0.5)], "v double, c double")
+    out = [r[0] for r in d.select(G.two_framings("v", "c")).collect()]
+    assert "0.70" in out[0] and "0.85" in out[0] and out[1] is None
+    assert "trademark" in G.ocap_note()
