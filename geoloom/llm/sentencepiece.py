@@ -73,6 +73,7 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         plain = [i for i, k in enumerate(self.kinds) if k in (NORMAL, USER)]
         self.ids = {self.pieces[i]: i for i in plain}
+        self.value = {p: float(self.scores[i]) for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.out = [b"" if k not in (NORMAL, USER, BYTE) else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds)]
         self.out[self.unknown] = " ⁇ ".encode()
@@ -116,16 +117,17 @@ class Model:
 
     def _merge(self, text: str) -> list[int]:
         """Greedy BPE of a short text, the definition."""
-        parts = list(text)
-        while True:
-            best, at = -np.inf, -1
-            for i in range(len(parts) - 1):
-                piece = self.ids.get(parts[i] + parts[i + 1])
-                if piece is not None and self.scores[piece] > best:
-                    best, at = self.scores[piece], i
-            if at < 0:
-                return [self.ids.get(p, -1) for p in parts]
+        parts, value = list(text), self.value.get
+        pairs = [value(a + b, -np.inf) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) > -np.inf:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = value(parts[at - 1] + parts[at], -np.inf)
+            if at < len(pairs):
+                pairs[at] = value(parts[at] + parts[at + 1], -np.inf)
+        return [self.ids.get(p, -1) for p in parts]
 
     def _edges(self, text: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, size, piece) of each occurrence of a piece in the code points
@@ -135,7 +137,7 @@ class Model:
         padded = np.zeros(n + 3 * width, np.uint64)
         padded[:n] = text + np.uint64(1)
         keys = [padded[3 * k : 3 * k + n] << np.uint64(42) | padded[3 * k + 1 : 3 * k + 1 + n] << np.uint64(21) | padded[3 * k + 2 : 3 * k + 2 + n] for k in range(width)]
-        at = np.lexsort(keys[::-1])
+        at = suffixes(keys[0], 3, self.longest)
         starts, sizes, pieces = [], [], []
         #: Ranks of suffixes by their first 3, 6, .. characters, for the searches.
         rank = np.zeros(n, np.int64)
@@ -295,6 +297,25 @@ class Model:
         return data.tobytes(), each
 
 
+def suffixes(first: np.ndarray, known: int, enough: int) -> np.ndarray:
+    """Suffixes in the order of their first `enough` characters, by doubling:
+    `first` orders `known` of them; ranks of a suffix and of the one that begins
+    where these end order twice as many."""
+    n = len(first)
+    at = np.argsort(first)
+    key = first
+    while known < enough and n:
+        s = key[at]
+        rank = np.empty(n, np.int64)
+        rank[at] = np.cumsum(np.append(True, s[1:] != s[:-1]))
+        after = np.zeros(n, np.int64)
+        after[: n - known] = rank[known:]
+        key = rank * (n + 1) + after
+        at = np.argsort(key)
+        known *= 2
+    return at
+
+
 def _search(k: np.ndarray, values: np.ndarray, lo: np.ndarray, hi: np.ndarray, right: bool) -> np.ndarray:
     """Binary search of each value in its own range of k."""
     lo, hi = lo.copy(), hi.copy()
