@@ -1,17 +1,20 @@
 """Approximate nearest neighbours of every vector by a permutation index.
 
 Pivots are vectors drawn by a hash of their ids, about the square root of the
-table in number and 64 at least. A vector is represented by its `prefix`
-nearest pivots in order, and posted in the inverted files of its `posted`
-nearest. Two vectors of one inverted file are candidates of each other if the
-footrule distance of their orders, in which a pivot beyond the prefix has the
-rank `prefix`, is at most `reach` of the largest there is. Candidates are
-reranked by their exact cosine; each vector keeps its best `k`.
-
-No list of candidates is cut: `reach` is a distance. An inverted file is worked
-on in tiles of `tile` queries by `tile` vectors, so that a crowded pivot is many
-tasks and none holds more than two tiles. The pivots, which grow as the square
-root of the table, are all that is broadcast; the check is in `pivots_of`.
+table in number and 64 at least. A vector is represented by its `posted` nearest
+pivots and posted in the inverted file of each. Vectors of one inverted file are
+candidates of each other, compared by their exact cosine; each vector keeps its
+best `k`. No list of candidates is cut.
+
+The more pivots, the fewer true neighbours share one of a fixed number. So
+`posted` is measured: `queries` vectors drawn by a hash meet the whole table,
+and it is the least number of pivots, POSTED at least, at which the share
+`recall` of their true neighbours shares one.
+
+An inverted file is worked on in pairs of tiles of about `tile` vectors, so that
+a crowded pivot is many tasks and none holds more than two tiles. The pivots,
+which grow as the square root of the table, and the queries are all that is
+broadcast; the check is in `pivots_of`.
 
 Result: (vec_id, neighbour_id, rank, cosine); cosines are rounded to 6 decimals
 and ties go to the lower neighbour_id.
@@ -36,7 +39,8 @@ from pyspark.sql.window import Window
 
 from .common import discard, staged
 
-K, PREFIX, POSTED, REACH, TILE, LEAST_PIVOTS = 10, 32, 16, 0.9, 8192, 64
+K, POSTED, TILE, LEAST_PIVOTS = 10, 16, 8192, 64
+RECALL, QUERIES = 0.98, 256
 PIVOT_BYTES = 256 << 20
 
 
@@ -63,91 +67,127 @@ def pivots_of(rows: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """The nearest `prefix` pivots of each row, nearest first."""
-    return np.argsort(-np.round(x @ pivots.T, 6), axis=1, kind="stable")[:, :prefix]
+def orders(x: np.ndarray, pivots: np.ndarray, posted: int) -> np.ndarray:
+    """The nearest `posted` pivots of each row, nearest first."""
+    parts = [np.argsort(-np.round(x[at : at + 2048] @ pivots.T, 6), axis=1, kind="stable")[:, :posted] for at in range(0, len(x), 2048)]
+    return np.concatenate(parts) if parts else np.zeros((0, posted), np.int64)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, width)
 
 
-def _orders(shared, prefix: int):
+def _orders(shared, posted: int):
     def run(batches):
         pivots = shared.value
         for b in batches:
             if b.num_rows:
-                order = orders(_matrix(b.column("v"), pivots.shape[1]), pivots, prefix)
+                order = orders(_matrix(b.column("v"), pivots.shape[1]), pivots, posted)
                 yield pa.record_batch([b.column("vec_id"), b.column("v"), pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], ["vec_id", "v", "pivots"])
 
     return run
 
 
+def _meet(shared, k: int):
+    def run(batches):
+        ids, queries = shared.value
+        for b in batches:
+            v, own = _matrix(b.column("v"), queries.shape[1]), b.column("vec_id").to_numpy()
+            cosines = queries @ v.T
+            cosines[ids[:, None] == own] = -2
+            near = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
+            q = np.repeat(np.arange(len(ids)), near.shape[1])
+            near = near.ravel()
+            yield pa.record_batch([pa.array(q.astype(np.int32)), b.column("vec_id").take(pa.array(near)), b.column("v").take(pa.array(near)), pa.array(cosines[q, near].astype(float))], ["q", "vec_id", "v", "cosine"])
+
+    return run
+
+
+def shared_at(x: np.ndarray, y: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """How many nearest pivots rows of x and y need to share one."""
+    need = []
+    for at in range(0, len(x), 512):
+        ranks = [orders(side[at : at + 512], pivots, len(pivots)).argsort(1) for side in (x, y)]
+        need.append(np.maximum(*ranks).min(1) + 1)
+    return np.concatenate(need) if need else np.zeros(0, np.int64)
+
+
+def posted_for(rows: DataFrame, pivots: np.ndarray, k: int, recall: float, queries: int) -> int:
+    """The number of pivots to post a vector at; see the module."""
+    drawn = rows.orderBy(F.xxhash64("vec_id", F.lit("query")), "vec_id").limit(queries).toArrow()
+    ids, q = drawn.column("vec_id").to_numpy(), np.array(drawn.column("v").to_pylist(), np.float32)
+    met = rows.mapInArrow(_meet(rows.sparkSession.sparkContext.broadcast((ids, q)), k), "q int, vec_id bigint, v array<float>, cosine double").where("cosine > -2")
+    by = Window.partitionBy("q").orderBy(F.desc("cosine"), "vec_id")
+    best = met.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= k).select("q", "v").toArrow()
+    if not best.num_rows:
+        return POSTED
+    need = np.sort(shared_at(q[best.column("q").to_numpy()], np.array(best.column("v").to_pylist(), np.float32), pivots))
+    return max(POSTED, int(need[math.ceil(recall * len(need)) - 1]))
+
+
 def _rows(ids: list, near: list, cosines: list) -> pd.DataFrame:
     return pd.DataFrame({"vec_id": np.array(ids, np.int64), "ids": pd.Series(near, dtype=object), "cosines": pd.Series(cosines, dtype=object)})
 
 
-def _tile(k: int, prefix: int, reach: float, count: int):
+def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, alike: bool):
+    """(ids of q, ids of x, cosines), the best k of x for each of q; `alike` if x is q."""
+    # Single precision finds who may be among the best k; doubles decide.
+    slack = 1e-6 + 2.5e-7 * x.shape[1]
+    xt = np.ascontiguousarray(x.T)
+    for at in range(0, len(q), 256):
+        rough = q[at : at + 256] @ xt
+        if alike:
+            rough[np.arange(len(rough)), at + np.arange(len(rough))] = -2
+        least = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(rough), -2, np.float32)
+        i, j = np.nonzero(rough >= np.maximum(least - slack, -1.5)[:, None])
+        parts = [np.einsum("ij,ij->i", q[at + i[c : c + 65536]].astype(float), x[j[c : c + 65536]].astype(float)) for c in range(0, len(i), 65536)]
+        if not parts:
+            continue
+        cosine = np.round(np.concatenate(parts), 6)
+        by = np.lexsort((xid[j], -cosine, i))
+        i, j, cosine = i[by], j[by], cosine[by]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j, cosine = i[keep], j[keep], cosine[keep]
+        cuts = np.flatnonzero(i[1:] != i[:-1]) + 1
+        yield qid[at + i[np.append(0, cuts)]], np.split(xid[j], cuts), np.split(cosine, cuts)
+
+
+def _tile(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, x = pdf[pdf["is_q"]], pdf[pdf["is_x"]]
-        if not len(q) or not len(x):
-            return _rows([], [], [])
-        wide = min(prefix, count)
-        xs, xp, xid = np.stack(x["v"].to_numpy()).astype(np.float64), np.stack(x["pivots"].to_numpy()), x["vec_id"].to_numpy()
-        qs, qp, qid = np.stack(q["v"].to_numpy()).astype(np.float64), np.stack(q["pivots"].to_numpy()), q["vec_id"].to_numpy()
-        # A pivot's worth is prefix - rank; the footrule is prefix * (prefix + 1) less twice the sum of the lesser worths.
-        worth = np.zeros((count, len(x)), np.uint8 if prefix < 256 else np.uint16)
-        mine = (wide - np.arange(wide)).astype(worth.dtype)
-        worth[xp.T, np.arange(len(x))] = mine[:, None]
-        least = (1 - reach) * wide * (wide + 1) / 2
+        own, low, high = pdf["own"].to_numpy(), int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
+        v, ids = np.stack(pdf["v"].to_numpy()).astype(np.float32), pdf["vec_id"].to_numpy()
+        a, b = own == low, own == high
+        sides = [(a, b)] if low == high else [(a, b), (b, a)]
         out_q, out_ids, out_cos = [], [], []
-        for at in range(0, len(q), 256):
-            cosines = np.round(qs[at : at + 256] @ xs.T, 6)
-            for i in range(len(cosines)):
-                common = np.minimum(worth[qp[at + i]], mine[:, None]).sum(0, dtype=np.uint32)
-                near = np.flatnonzero((common >= least) & (xid != qid[at + i]))
-                if len(near):
-                    c = cosines[i, near]
-                    if len(near) > k:
-                        kth = -np.partition(-c, k - 1)[k - 1]
-                        near, c = near[c >= kth], c[c >= kth]
-                    best = np.lexsort((xid[near], -c))[:k]
-                    out_q.append(qid[at + i])
-                    out_ids.append(xid[near[best]])
-                    out_cos.append(c[best])
+        for q, x in sides:
+            if q.any() and x.any():
+                for some, near, cosines in _best(v[q], ids[q], v[x], ids[x], k, low == high):
+                    out_q.extend(some)
+                    out_ids.extend(near)
+                    out_cos.extend(cosines)
         return _rows(out_q, out_ids, out_cos)
 
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, prefix: int = PREFIX, posted: int = POSTED, reach: float = REACH, tile: int = TILE) -> DataFrame:
-    """(vec_id, neighbour_id, rank, cosine); see the module."""
+def neighbours(vectors: DataFrame, k: int = K, posted: int | None = None, recall: float = RECALL, tile: int = TILE, queries: int = QUERIES) -> DataFrame:
+    """(vec_id, neighbour_id, rank, cosine); see the module. A given `posted` isn't measured."""
     spark = vectors.sparkSession
     rows = staged(usable(vectors), "ann-rows")
     n = rows.count()
     pivots = pivots_of(rows, n) if n else np.zeros((0, 1), np.float32)
+    if posted is None:
+        posted = posted_for(rows, pivots, k, recall, queries) if n else POSTED
     shared = spark.sparkContext.broadcast(pivots)
-    ranked = rows.mapInArrow(_orders(shared, prefix), "vec_id bigint, v array<float>, pivots array<int>")
+    ranked = rows.mapInArrow(_orders(shared, posted), "vec_id bigint, v array<float>, pivots array<int>")
     ranked = staged(ranked, "ann-orders")
     discard(rows)
-    postings = ranked.select("vec_id", F.posexplode(F.slice("pivots", 1, posted)).alias("nth", "pivot")).drop("nth")
-    files = postings.groupBy("pivot").count().select("pivot", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    posts = ranked.select("*", F.explode(F.slice("pivots", 1, posted)).alias("pivot")).join(F.broadcast(files), "pivot")  # a row for each pivot
+    files = ranked.select(F.explode("pivots").alias("pivot")).groupBy("pivot").count().select("pivot", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
+    posts = ranked.select("vec_id", "v", F.explode("pivots").alias("pivot")).join(F.broadcast(files), "pivot")  # a row for each pivot
     own = F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int")
     posts = posts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    sides = F.when(F.col("own") == F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(1), F.lit(2)))
-    posts = posts.withColumn("side", F.explode(sides))
-    posts = posts.select(
-        "pivot",
-        F.when(F.col("side") == 2, F.col("other")).otherwise(F.col("own")).alias("q"),
-        F.when(F.col("side") == 2, F.col("own")).otherwise(F.col("other")).alias("x"),
-        (F.col("side") < 2).alias("is_q"),
-        (F.col("side") != 1).alias("is_x"),
-        "vec_id",
-        "v",
-        "pivots",
-    )
-    best = posts.groupBy("pivot", "q", "x").applyInPandas(_tile(k, prefix, reach, len(pivots)), "vec_id bigint, ids array<bigint>, cosines array<double>")
+    posts = posts.select("pivot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "vec_id", "v")
+    best = posts.groupBy("pivot", "low", "high").applyInPandas(_tile(k), "vec_id bigint, ids array<bigint>, cosines array<double>")
     met = best.groupBy("vec_id").agg(F.flatten(F.collect_list(F.arrays_zip("ids", "cosines"))).alias("all"))
     met = met.select("vec_id", F.inline("all")).groupBy("vec_id", F.col("ids").alias("neighbour_id")).agg(F.max("cosines").alias("cosine"))
     by = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour_id")

@@ -116,6 +116,22 @@ def test_recall_of_neighbours(spark, tile):
     assert hits >= 0.95 * 10 * len(want)
 
 
+def test_posted_pivots_follow_their_number(spark, monkeypatch):
+    monkeypatch.setattr(permutation, "LEAST_PIVOTS", 2048)  # as many as millions of vectors have
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(4000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    some = np.arange(0, 4000, 20)
+    cosines = unit[some] @ unit.T
+    cosines[np.arange(len(some)), some] = -2
+    want = {int(q): set(np.argsort(-c)[:10].tolist()) for q, c in zip(some, cosines)}
+    got = {}
+    for r in permutation.neighbours(df).where(F.col("vec_id").isin(list(want))).collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbour_id)
+    assert sum(len(want[q] & got.get(q, set())) for q in want) >= 0.97 * 10 * len(want)
+
+
 def test_neighbour_edge_cases(spark):
     e = [1.0, 0.0]
     rows = [(1, e, "a"), (2, e, "a"), (3, [0.5, 0.0], "a"), (3, [0.5, 0.0], "a"), (4, None, "a"), (5, [], None), (6, [0.0, 0.0], "a"), (7, [float("nan"), 1.0], "a"), (8, [1.0, 2.0, 3.0], "a"), (None, e, "a"), (9, [0.0, 1.0], "a"), (10, [1.0, None], "a"), (11, [1e-300, 0.0], "a")]
