@@ -221,19 +221,39 @@ def _lower(c: str) -> str:
     return low if len(low) == 1 else c
 
 
-def _clean(shared, chars: bool):
+def _note(shared, name: str):
+    """Adds the spans of a shard to those in column `name`, as starts and ends in turn."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole):
                 found = shared.value.spans(part.column("text"))
                 if found:
-                    texts = part.column("text").to_pylist()
+                    noted = part.column(name).to_pylist()
                     for row, spans in found.items():
-                        texts[row] = cut(texts[row], spans)
+                        noted[row] = [*(noted[row] or []), *(x for span in spans for x in span)]
+                    part = put(part, name, noted)
+                yield part
+
+    return run
+
+
+def _cut(name: str, chars: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole):
+                noted = part.column(name)
+                rows = np.flatnonzero(noted.is_valid().to_numpy(zero_copy_only=False)).tolist()
+                part = part.drop_columns([name])
+                if rows:
+                    texts = part.column("text").to_pylist()
+                    for row in rows:
+                        x = noted[row].as_py()
+                        texts[row] = cut(texts[row], union(list(zip(x[::2], x[1::2]))))
                     part = put(part, "text", texts)
                     if chars:
                         sizes = part.column("n_chars").to_pylist()
-                        for row in found:
+                        for row in rows:
                             sizes[row] = len(texts[row])
                         part = put(part, "n_chars", sizes)
                 yield part
@@ -251,9 +271,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, c
     """The documents, all columns and rows, with the spans cut from text and
     n_chars, if there is such an integer column, the new length of changed texts."""
     chars = any(f.name == "n_chars" and isinstance(f.dataType, (T.IntegerType, T.LongType)) for f in docs.schema)
+    name, schema = "spans", docs.schema
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    noted = docs.withColumn(name, F.lit(None).cast("array<bigint>"))
     for matcher in _matchers(benchmark, length, coverage, least, shard_tokens):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(matcher), chars), docs.schema)
-    return docs
+        noted = noted.mapInArrow(_note(docs.sparkSession.sparkContext.broadcast(matcher), name), noted.schema)
+    return noted.mapInArrow(_cut(name, chars), schema)
 
 
 SQL = f"""

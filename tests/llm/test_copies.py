@@ -154,6 +154,16 @@ def test_contamination_against_brute_force(spark):
     assert left[2] == "" and left[5] == "a b c" and left[7] is None and left[1].split() == (prose(23, 20) + " " + prose(24, 5)).split()
 
 
+def test_shards_cut_what_one_shard_cuts(spark):
+    context, ask, other = prose(30, 15), prose(31, 10), prose(32, 10)
+    docs = [(1, f"{prose(33, 6)} {context} {ask} {prose(34, 6)}", 7), (2, f"{context} {other}", 7), (3, prose(35, 9), 7), (4, None, 7)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, spans int")
+    b = spark.createDataFrame([(0, f"{context} {ask}"), (1, f"{context} {other}")], "item_id bigint, text string")
+    left = [sorted((tuple(r) for r in decontaminate.decontaminate(d, b, shard_tokens=n).collect())) for n in (1_000_000, 10)]
+    assert left[0] == left[1] and (2, "", 7) in left[0]
+    assert {r.doc_id for r in decontaminate.contaminated_spans(d, b, shard_tokens=10).collect()} == {1, 2}
+
+
 def test_contamination_edge_cases(spark):
     docs, bench = frame(spark), spark.createDataFrame([(1, prose(3, 80), 0), (None, None, 1), (2, "", 2)], "item_id bigint, text string, doc_id bigint")
     assert {r.doc_id for r in decontaminate.contaminated_spans(docs, bench).collect()} == {9}
