@@ -9,7 +9,7 @@ the smoothed share of bad ones among the labelled URLs that have them.
 Labels come as a table (url, bad). `seeded` makes one of the pages themselves:
 a URL is bad if its host has a word of a block list. The trees are fitted on
 the driver to at most `labelled` rows, drawn by a hash of the URL (a documented
-bound); the counts of suffixes cover every URL. In fitting, a row's own label
+bound); the counts of suffixes cover every URL, their shares every labelled one. In fitting, a row's own label
 is left out of its suffixes' shares. Trees of depth 3 split on at most 64
 quantiles of a feature, by the gain of Newton's step on logistic loss.
 
@@ -187,11 +187,11 @@ def _suffixes(df: DataFrame) -> DataFrame:
     return df
 
 
-def _stats(urls: DataFrame, sample: DataFrame, n: int) -> DataFrame:
+def _stats(urls: DataFrame, labelled: DataFrame, n: int) -> DataFrame:
     """(suffix, count, bad, known) of the last n labels."""
     key = f"suffix{n}"
     every = urls.groupBy(key).agg(F.count("*").alias(f"count{n}"))
-    known = sample.groupBy(key).agg(F.sum("bad").alias(f"bad{n}"), F.count("*").alias(f"known{n}"))
+    known = labelled.groupBy(key).agg(F.sum("bad").alias(f"bad{n}"), F.count("*").alias(f"known{n}"))
     return every.join(known, key, "left").na.fill(0)
 
 
@@ -225,12 +225,14 @@ def filtered(pages: DataFrame, labels: DataFrame | None = None, labelled: int =
     """(page_id, score, blocked) of every page; see the module."""
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"))
     labels = seeded(pages) if labels is None else labels.select(F.col("url").cast("string").alias("url"), F.col("bad").cast("int").alias("bad"))
-    sample = labels.where("url <> '' AND bad IS NOT NULL").distinct().orderBy(F.xxhash64("url"), "url", "bad").limit(labelled)
+    known = labels.where("url <> '' AND bad IS NOT NULL").distinct()
+    sample = known.orderBy(F.xxhash64("url"), "url", "bad").limit(labelled)
     spark = pages.sparkSession
     held = sample.toArrow()
     sample = _suffixes(spark.createDataFrame(held)) if held.num_rows else _suffixes(spark.createDataFrame([], "url string, bad int"))
     urls = _suffixes(pages)
-    stats = [_stats(urls.where("url <> ''"), sample, n) for n in (2, 3)]
+    known = _suffixes(known)
+    stats = [_stats(urls.where("url <> ''"), known, n) for n in (2, 3)]
     train = sample
     for n, s in zip((2, 3), stats):
         train = train.join(s, f"suffix{n}", "left")

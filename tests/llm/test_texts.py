@@ -100,6 +100,13 @@ def test_url_edge_cases(spark):
     assert {r.score for r in urlfilter.filtered(pages, good.limit(0)).where("score IS NOT NULL").collect()} == {0.0}
 
 
+def test_suffix_shares_cover_labels_beyond_the_sample(spark):
+    hosts = [("spam" if i % 3 == 0 else "maps", i) for i in range(900)]
+    pages = spark.createDataFrame([(i * 10 + k, f"http://{w}.h{i:03d}.com/p{k}") for w, i in hosts for k in range(3)], "page_id bigint, url string")
+    out = urlfilter.filtered(pages, labelled=200).collect()
+    assert len(out) == 2700 and sum(r.blocked == (r.page_id // 10 % 3 == 0) for r in out) > 0.97 * 2700
+
+
 def brute(ids, x, k):
     s = np.round(x @ x.T, 6)
     np.fill_diagonal(s, -9)
