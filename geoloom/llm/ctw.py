@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, slices, staged, utf8
 
-DEPTH, SHARD = 3, 1 << 25
+DEPTH, SHARD = 5, 1 << 25
 HELD = 1 << 22
 _HALF = np.log(0.5)
 

@@ -121,6 +121,13 @@ def test_code_lengths_against_brute_force(spark, depth):
         assert (got[i].bits_per_byte is None) == (not t)
 
 
+def test_default_contexts_reach_over_five_bytes(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, "".join(f"{d}abcd{d}" for d in rng.integers(0, 2, 200))) for i in range(10)], "doc_id bigint, text string")
+    deep, flat = (ctw.code_lengths(df, *depth).agg(F.sum("bits")).first()[0] for depth in ((), (3,)))
+    assert deep < 0.7 * flat
+
+
 def test_shards_give_the_same_sums(spark):
     df = frame(spark, [row(i, prose(i, 30)) for i in (1, 2, 3)] + [row(3, prose(3, 30)), row(4, None)])
     whole, parts = (sorted((r.doc_id, r.n_bytes, round(r.bits, 6)) for r in ctw.code_lengths(df, shard=s).collect()) for s in (1 << 25, 40))
