@@ -309,7 +309,8 @@ def suffixes(first: np.ndarray, known: int, enough: int) -> np.ndarray:
         rank = np.empty(n, np.int64)
         rank[at] = np.cumsum(np.append(True, s[1:] != s[:-1]))
         after = np.zeros(n, np.int64)
-        after[: n - known] = rank[known:]
+        more = max(n - known, 0)
+        after[:more] = rank[known : known + more]
         key = rank * (n + 1) + after
         at = np.argsort(key)
         known *= 2

@@ -46,7 +46,7 @@ def test_ids_equal_the_public_library(spark):
     import sentencepiece as public
 
     known = public.SentencePieceProcessor(model_file=sentencepiece.MODEL)
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: list(r.ids) for r in sentencepiece.encoded(docs).collect()}
     for r in docs.collect():
         assert got[r.doc_id] == known.encode(r.text)
@@ -65,6 +65,20 @@ def test_round_trip_and_edge_cases(spark):
     assert sentencepiece.encoded(frame(spark, [])).count() == 0
 
 
+def test_short_texts_of_every_length_and_second_batches():
+    import sentencepiece as public
+
+    known = public.SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    with open(sentencepiece.MODEL, "rb") as f:
+        data = f.read()
+    line = "a good dog runs over the old stone bridge"
+    for n in range(1, len(line) + 1):
+        model = sentencepiece.Model(data)
+        assert model.encode([line[:n]])[0].tolist() == known.encode(line[:n])
+        for word in ("cat", "I", "a good dog", "x" * (n % 12 + 1)):  # a second batch brings one new short unit
+            assert model.encode([line[:n], word])[0].tolist() == known.encode(line[:n]) + known.encode(word)
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     with open(sentencepiece.MODEL, "rb") as f:
         data = f.read()
