@@ -6,21 +6,27 @@ the count of leading zeros (6 bits) and the 10 bits that follow the leading
 one: 16 bits a bucket. Four registers make one 64-bit band key; 64 bands.
 
 Steps:
-1. one pass over the texts writes (doc_id, set digest, size, registers);
+1. one pass over the texts writes (doc_id, set digest, size, registers, keys of
+   the bands);
 2. documents of one set (digest and size) collapse into their least doc_id;
 3. all documents that share a band key with the least doc_id of that key are
    candidates; their Jaccard estimate, corrected for the register collisions
-   expected of disjoint sets, discards the hopeless; the exact Jaccard of the
-   shingle sets decides;
+   expected of disjoint sets, discards those that are `SIGMAS` standard errors
+   below the threshold (one true pair in a billion; the fewer registers two
+   short documents use, the wider the error, and at 36 none is discarded); the
+   exact Jaccard of the shingle sets decides;
 4. connected components; then the pairs of every band key whose documents
    are still in different components are tested in the same way, so that the
    result is that of testing all pairs of every band key, without the
    quadratic work inside large groups of copies;
 5. the least doc_id of each component stays.
 
+A set, a band key or a node that a third of all rows share is aggregated before
+the shuffle; its rows get the result by a join, whose skewed side Spark splits.
+
 Defined cases: NULL text is ''; documents without a token and rows without a
-doc_id form no group; rows that repeat a doc_id are one document (its first
-text by order); any other columns are ignored.
+doc_id form no group; rows that repeat a doc_id are one document, the first of
+them by all columns as JSON; any other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +37,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import discard, mix, slices, spans_hash, staged, tokens, utf8
 
 BUCKETS, SHIFT, LOW, MANTISSA, ROWS = 256, 8, 44, 10, 4
 EMPTY = np.uint16(65535)
-THRESHOLD, SHINGLE, MARGIN = 0.5, 3, 0.15
+THRESHOLD, SHINGLE, SIGMAS = 0.5, 3, 6
 
 _rng = np.random.default_rng(20240229)
 _PROBES = [_rng.integers(0, BUCKETS, BUCKETS) for _ in range(24)]
@@ -79,7 +84,7 @@ def registers(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
-    """(n, 64) band keys. An empty register borrows that of another bucket, in
+    """(n, 64) keys of the bands, unlike for unlike bands. An empty register borrows that of another bucket, in
     an order of buckets drawn once for each bucket, so that bands of short
     documents don't hang on one shingle."""
     full = sig.copy()
@@ -95,12 +100,14 @@ def bands(sig: np.ndarray) -> np.ndarray:
         full[rows, cols] = full[rows, (cols + 1) % BUCKETS]
         if (sig[np.unique(rows)] == EMPTY).all():
             break
-    return np.ascontiguousarray(full).view("<i8")
+    keys = np.ascontiguousarray(full).view("<u8")
+    return mix(mix(keys) + np.arange(keys.shape[1], dtype=np.uint64)).view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Jaccard estimates of register rows: equal registers, less the equal ones
-    that disjoint sets of these sizes are expected to have, over the used."""
+    that disjoint sets of these sizes are expected to have, over the used; and
+    how many are used."""
     used = (a != EMPTY) | (b != EMPTY)
     same = ((a == b) & used).sum(1)
     la, lb = na / BUCKETS, nb / BUCKETS
@@ -108,7 +115,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     chance = 0.68 * 2.0**-MANTISSA * la * lb / np.maximum(s, 1e-12) ** 2 * (1 - np.exp(-s) * (1 + s))
     expected = BUCKETS * chance
     total = used.sum(1)
-    return np.clip((same - expected) / np.maximum(total - expected, 1e-9), 0, 1)
+    return np.clip((same - expected) / np.maximum(total - expected, 1e-9), 0, 1), total
 
 
 def _sketches(size: int):
@@ -130,25 +137,14 @@ def _sketches(size: int):
                         pa.array(digest[keep]),
                         pa.array(count[keep].astype(np.int32)),
                         pa.array([x.tobytes() for x in sig[keep]], pa.binary()),
+                        pa.array(list(bands(sig[keep])), pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "digest", "size", "sig"],
+                    ["doc_id", "digest", "size", "sig", "keys"],
                 )
 
     return run
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 2000):
-            part = b.slice(at, 2000)
-            n = part.num_rows
-            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(n, BUCKETS)
-            keys = bands(sig)
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            k = keys.shape[1]
-            yield pa.record_batch([pa.array(np.repeat(ids, k)), pa.array(np.tile(np.arange(k, dtype=np.int16), n)), pa.array(keys.reshape(-1))], ["doc_id", "band", "key"])
-
-
 def _hopeful(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,7 +155,9 @@ def _hopeful(threshold: float):
                     continue
                 x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(n, BUCKETS) for c in ("sa", "sb"))
                 na, nb = (part.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-                good = (estimate(x, y, na, nb) >= threshold - MARGIN) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb))
+                found, used = estimate(x, y, na, nb)
+                error = np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
+                good = (found >= threshold - SIGMAS * error) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb))
                 yield part.select(["a", "b"]).filter(pa.array(good))
 
     return run
@@ -229,8 +227,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             around = df.select("a", "b").union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             around = df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        w = Window.partitionBy("a")
-        near = around.withColumn("m", F.least(F.col("a"), F.min("b").over(w)))
+        near = around.join(around.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "a")
         if large:
             out = near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -250,43 +247,56 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return now.select(F.col("a").alias("doc_id"), F.col("b").alias("group_id")).union(now.select(F.col("b").alias("doc_id"), F.col("b").alias("group_id")).distinct())
 
 
+def _single(docs: DataFrame) -> DataFrame:
+    """One row a doc_id, the first by all columns as JSON; rows without one stay."""
+    twice = staged(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        discard(twice)
+        return docs
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(every, F.to_json(every)).alias("row")).select("row.*")
+    return docs.join(twice, "doc_id", "left_anti").select(docs.columns).union(first.select(docs.columns))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """(doc_id, group_id, kept) of every document that has a near copy."""
+    docs = _single(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")))
+    return _near(docs, threshold, size)
+
+
+def _near(docs: DataFrame, threshold: float, size: int) -> DataFrame:
+    """near_duplicates of documents whose ids don't repeat."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    raw = docs.mapInArrow(_sketches(size), "doc_id bigint, digest bigint, size int, sig binary")
+    raw = docs.mapInArrow(_sketches(size), "doc_id bigint, digest bigint, size int, sig binary, keys array<bigint>")
     sketches = staged(raw, "sketches")
-    same = Window.partitionBy("digest", "size")
-    exact = sketches.select("doc_id", F.min("doc_id").over(same).alias("rep")).where("doc_id <> rep").distinct()
-    exact = staged(exact, "exact")
+    sets_of = sketches.groupBy("digest", "size").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep <> top").drop("top")
+    exact = staged(sketches.select("doc_id", "digest", "size").join(sets_of, ["digest", "size"]).where("doc_id <> rep").select("doc_id", "rep"), "exact")
     reps = sketches.join(exact, "doc_id", "left_anti")
-    keyed = reps.mapInArrow(_band_rows, "doc_id bigint, band smallint, key bigint")
-    hub = Window.partitionBy("band", "key")
-    buckets = keyed.select("*", F.min("doc_id").over(hub).alias("hub"), F.max("doc_id").over(hub).alias("top")).where("hub <> top")
-    buckets = staged(buckets.select("doc_id", "band", "key", "hub"), "buckets")
+    keyed = reps.select("doc_id", "size", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top").drop("top")
+    buckets = staged(keyed.join(hubs, "key").select("doc_id", "size", "key", "hub"), "buckets")
     tested = staged(buckets.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "tested")
     edges, sets = _exact(docs, tested, sketches, None, threshold, size, "star")
     groups = staged(components(edges), "groups")
 
     label = groups.select("doc_id", F.col("group_id").alias("g"))
-    left = buckets.join(label, "doc_id", "left").select("band", "key", "hub", "doc_id", F.coalesce("g", "doc_id").alias("g"))
-    w = Window.partitionBy("band", "key")
-    left = left.where("doc_id <> hub").select("*", F.min("g").over(w).alias("lo"), F.max("g").over(w).alias("hi")).where("lo <> hi").drop("lo", "hi")
-    x, y = left.select("band", "key", F.col("doc_id").alias("a"), F.col("g").alias("ga")), left.select("band", "key", F.col("doc_id").alias("b"), F.col("g").alias("gb"))
-    rest = x.join(y, ["band", "key"]).where("a < b AND ga <> gb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    left = buckets.where("doc_id <> hub").join(label, "doc_id", "left").select("key", "size", "doc_id", F.coalesce("g", "doc_id").alias("g"))
+    mixed = left.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("key")
+    left = staged(left.join(mixed, "key", "left_semi"), "mixed")
+    x, y = left.toDF("key", "na", "a", "ga"), left.toDF("key", "nb", "b", "gb")
+    alike = (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb"))
+    rest = x.join(y, "key").where(alike).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
     rest = staged(rest, "rest")
     more, others = _exact(docs, rest, sketches, sets, threshold, size, "rest")
     links = groups.select(F.col("doc_id").alias("a"), F.col("group_id").alias("b")).union(more).union(exact.toDF("a", "b"))
-    out = staged(components(links), "near")
-    discard(sketches, exact, buckets, tested, edges, sets, groups, rest, more, others)
+    out = components(links)
+    discard(sketches, exact, buckets, tested, edges, sets, groups, left, rest, more, others)
     return out.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """The documents, all columns, less every near copy of a kept one. Of rows
-    that repeat a doc_id one stays: the first by all columns' text."""
-    gone = near_duplicates(docs, threshold, size).where("NOT kept").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    order = Window.partitionBy("doc_id").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
-    single = kept.join(twice, "doc_id", "left_semi").select("*", F.row_number().over(order).alias("__nth")).where("__nth = 1").select(docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(single)
+    that repeat a doc_id one stays: the first by all columns as JSON."""
+    docs = _single(docs)
+    gone = _near(docs, threshold, size).where("NOT kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -10,8 +10,8 @@ def prose(seed: int, n: int) -> str:
     return " ".join(r.choice(WORDS) + str(r.randrange(50)) for _ in range(n))
 
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, size string, label int, score string, keep string, a int, b int, band int, key int, tail int, nth int, n int, gram int, part int, id int, group_id string, spans string, count int"
-EXTRA = ("x", "y", 7, "z", "w", 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, "g", "s", 11)
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, size string, label int, score string, keep string, a int, b int, band int, key int, tail int, nth int, n int, gram int, part int, id int, group_id string, spans string, count int, __nth int, row int, twice string, top int, rep string, hub string, keys string, first string, m int, g int"
+EXTRA = ("x", "y", 7, "z", "w", 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, "g", "s", 11, 12, 13, "t", 14, "r", "h", "k", "f", 15, 16)
 
 
 def row(doc_id, text, lang="en", source="s", n_chars=0):

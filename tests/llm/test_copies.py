@@ -73,6 +73,31 @@ def test_near_copies_edge_cases(spark):
     assert hyperminhash.near_duplicates(frame(spark, [])).count() == 0 and hyperminhash.deduplicate(frame(spark, [])).count() == 0
 
 
+def test_repeated_ids_keep_their_first_row_and_lose_no_other_text(spark):
+    one, two = prose(50, 40), prose(51, 40)
+    first, second = sorted([one, two])
+    for rows, kept in (
+        ([(3, second), (5, first), (5, second)], {3: second, 5: first}),  # 5 is its first text, no copy of 3
+        ([(3, first), (5, first), (5, second)], {3: first}),  # 5 is its first text, a copy of 3
+    ):
+        docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id bigint, text string, row int")
+        assert {r.doc_id: r.text for r in hyperminhash.deduplicate(docs).collect()} == kept
+        assert {r.doc_id for r in hyperminhash.near_duplicates(docs).collect()} == (set() if 5 in kept else {3, 5})
+    many = spark.createDataFrame([(7, one)] * 300 + [(8, two)] * 2, "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in hyperminhash.deduplicate(many).collect()) == [(7, one), (8, two)]
+
+
+def test_short_documents_are_not_judged_by_few_registers(spark):
+    docs = []
+    for g in range(150):
+        w = prose(2000 + g, 8).split()
+        docs += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[:6] + ["other" + str(g)] * 2))]
+    s = sets(docs)
+    near = {(a, a + 1) for a in range(0, 300, 2) if len(s[a] & s[a + 1]) >= 0.5 * len(s[a] | s[a + 1])}
+    got = {r.doc_id: r.group_id for r in hyperminhash.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert len(near) == 150 and sum(got.get(b) == a for a, b in near) >= 0.99 * len(near)
+
+
 def test_register_estimate_is_near_the_jaccard():
     rng = np.random.default_rng(0)
     common, own = rng.integers(0, 1 << 52, 3000, dtype=np.uint64), rng.integers(0, 1 << 52, 2000, dtype=np.uint64)
@@ -80,7 +105,7 @@ def test_register_estimate_is_near_the_jaccard():
     values = np.concatenate([np.sort(np.concatenate([common, own[:1000]])), np.sort(np.concatenate([common, own[1000:]]))])
     sig = hyperminhash.registers(rows, values, 2)
     n = np.array([4000.0])
-    assert abs(hyperminhash.estimate(sig[:1], sig[1:], n, n)[0] - 0.6) < 0.1
+    assert abs(hyperminhash.estimate(sig[:1], sig[1:], n, n)[0][0] - 0.6) < 0.1
 
 
 def brute_windows(docs, window):
