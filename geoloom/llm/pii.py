@@ -1,19 +1,26 @@
 """PII by anchor expansion.
 
-An Aho-Corasick automaton finds anchors: at-signs, address schemes, plus signs,
-pairs of digits and words that announce an identifier. At each anchor a
-deterministic parser expands to the left and right as far as its alphabet goes,
-and validates what it has:
+An Aho-Corasick automaton finds anchors in the lower-case text: at-signs,
+address schemes, plus signs, double colons, pairs of digits and words that
+announce an identifier. At each anchor a deterministic parser expands to the
+left and right as far as its alphabet goes, and validates what it has:
 
 - email: a local part and at least two domain labels, the last of letters;
+  letters of any script in both;
 - url: scheme, host of labels or a dotted quad, up to white space or a quote;
-- ip: four numbers of at most 255, not part of a longer dotted number;
+- ip: four numbers of at most 255, not part of a longer dotted number; or an
+  IPv6 address with a digit, of eight groups or with ::;
 - iban: country, check digits and 11 to 30 characters, remainder 1 modulo 97;
 - ssn: ddd-dd-dddd of assigned areas;
 - phone: + and 8 to 15 digits, or ddd ddd dddd with separators;
-- card: 13 to 19 digits that pass Luhn's check; account: others of 12 to 19;
-- secret: 16 or more token characters after a cue such as token or api_key and
-  an optional =, : or quote.
+- card: 13 to 19 digits that pass Luhn's check; account: others of 12 to 19,
+  and 6 to 19 digits after a cue such as account or acct and an optional no,
+  number, # or colon;
+- secret: 16 or more token characters, however many, after a cue such as token
+  or apiKey, in any case, and an optional =, : or quote.
+
+Numbers are looked for in the whole run of digits and separators around their
+anchor, IPv6 addresses within REACH characters of it: none is longer.
 
 At most one finding covers a character: of those that overlap, the one that
 begins first, then the longer, stays. Results depend on the text alone.
@@ -25,6 +32,7 @@ columns are carried along unread.
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Iterator
 
 import ahocorasick
@@ -38,20 +46,25 @@ from .common import slices
 from .decontaminate import put
 
 KINDS = ("account", "card", "email", "iban", "ip", "phone", "secret", "ssn", "url")
-CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "auth_key", "private_key")
+CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "accesskey", "access-key", "auth_key", "authkey", "private_key", "privatekey")
+ACCOUNTS = ("account", "acct", "konto")
 
 _LOCAL = regex.compile(r"[\p{L}\p{N}._%+\-]+", regex.REVERSE)
-_DOMAIN = regex.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
+_DOMAIN = regex.compile(r"(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?\.)+\p{L}{2,24}(?![\p{L}\p{N}])")
 _SCHEME = regex.compile(r"[A-Za-z][A-Za-z0-9+.\-]*", regex.REVERSE)
 _HOST = regex.compile(r"(?:[^\s/@\"'<>]+@)?(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?\.)+(?:[\p{L}]{2,24}|\d{1,3})(?::\d{1,5})?(?:[/?#][^\s\"'<>]*)?")
 _LEFT = regex.compile(r"[\d.()+ \-]+", regex.REVERSE)
+_RIGHT = regex.compile(r"[\d.()+ \-]+")
 _IP = regex.compile(r"(?<![\d.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?!\d|\.\d)")
 _SSN = regex.compile(r"(?<![\d\-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])")
 _PLUS = regex.compile(r"(?<![\p{L}\d+])\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,5}(?!\d)")
 _NATIONAL = regex.compile(r"(?<![\d.\-])(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\d.\-]\d|\d)")
 _DIGITS = regex.compile(r"(?<![\d.])(?:\d{12,19}|\d{4}(?:[ \-]\d{4}){2,3}(?:[ \-]\d{1,3})?)(?!\d|[.,]\d)")
 _IBAN = regex.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
-_SECRET = regex.compile(r"[\"']?\s{0,3}[=:]?\s{0,3}[\"']?([A-Za-z0-9_\-/+.]{16,512})")
+_SECRET = regex.compile(r"[\"']?\s{0,3}[=:]?\s{0,3}[\"']?([A-Za-z0-9_\-/+.]{16,})")
+_ACCOUNT = regex.compile(r"(?:[ _\-]?(?:number|num|no|nr|id)\b)?\.?\s{0,3}[:=#]?\s{0,3}(\d{6,19}|(?:\d{3,4}[ \-]){1,4}\d{3,4})(?![\d\-]|[.,]\d)")
+_HEX = regex.compile(r"[0-9A-Fa-f:]+")
+_HEX_LEFT = regex.compile(r"[0-9A-Fa-f:]+", regex.REVERSE)
 REACH = 64
 
 
@@ -61,12 +74,13 @@ def automaton() -> ahocorasick.Automaton:
         found.add_word(f"{a:02d}", (2, "digits"))
     found.add_word("@", (1, "at"))
     found.add_word("://", (3, "scheme"))
-    for w in ("www.", "WWW.", "Www."):
-        found.add_word(w, (4, "www"))
+    found.add_word("www.", (4, "www"))
     found.add_word("+", (1, "plus"))
+    found.add_word("::", (2, "colons"))
     for cue in CUES:
-        for w in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(w, (len(w), "cue"))
+        found.add_word(cue, (len(cue), "cue"))
+    for cue in ACCOUNTS:
+        found.add_word(cue, (len(cue), "account"))
     found.make_automaton()
     return found
 
@@ -80,6 +94,28 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, character by character."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c in text for x in (c.lower(),))
+
+
+def _ipv6(text: str, at: int):
+    left, right = _HEX_LEFT.match(text, max(0, at - REACH), at), _HEX.match(text, at, at + REACH)
+    start, end = left.start() if left else at, right.end() if right else at
+    if start and text[start - 1].isalnum() or end < len(text) and text[end].isalnum():
+        return
+    if text[start:end].endswith(":") and not text[start:end].endswith("::"):
+        end -= 1
+    value = text[start:end]
+    if len(value) >= 4 and value.count(":") >= 2 and any(c.isdigit() for c in value):
+        try:
+            ipaddress.IPv6Address(value)
+        except ValueError:
+            return
+        yield start, end, "ip"
+
+
 def _email(text: str, at: int):
     left = _LOCAL.match(text, 0, at)
     right = _DOMAIN.match(text, at + 1)
@@ -101,25 +137,23 @@ def _url(text: str, start: int, host: int):
             yield start, end, "url"
 
 
-def _numbers(text: str, at: int):
-    """Around two digits: every number-like identifier that holds `at`."""
-    left = _LEFT.match(text, max(0, at - REACH), at)
-    start = left.start() if left else at
-    stop = min(len(text), at + REACH)
-    for m in _IP.finditer(text, start, stop):
-        if m.start() <= at < m.end() and all(int(x) < 256 for x in m.groups()):
+def _numbers(text: str, start: int, stop: int):
+    """The number-like identifiers of a run of digits and separators, overlapping ones too."""
+    ahead = min(len(text), stop + 2)
+    for m in _IP.finditer(text, start, ahead, overlapped=True):
+        if all(int(x) < 256 for x in m.groups()):
             yield m.start(), m.end(), "ip"
-    for m in _SSN.finditer(text, start, stop):
-        if m.start() <= at < m.end():
-            yield m.start(), m.end(), "ssn"
-    for m in _NATIONAL.finditer(text, start, stop):
-        if m.start() <= at < m.end():
-            yield m.start(), m.end(), "phone"
-    for m in _DIGITS.finditer(text, start, stop):
-        if m.start() <= at < m.end():
-            digits = "".join(c for c in m.group() if c.isdigit())
-            if 12 <= len(digits) <= 19:
-                yield m.start(), m.end(), "card" if len(digits) >= 13 and luhn(digits) else "account"
+    for kind, pattern in (("ssn", _SSN), ("phone", _NATIONAL)):
+        for m in pattern.finditer(text, start, ahead, overlapped=True):
+            yield m.start(), m.end(), kind
+    for m in _DIGITS.finditer(text, start, ahead, overlapped=True):
+        digits = "".join(c for c in m.group() if c.isdigit())
+        if 12 <= len(digits) <= 19:
+            yield m.start(), m.end(), "card" if len(digits) >= 13 and luhn(digits) else "account"
+
+
+def _iban(text: str, at: int):
+    """Around the check digits."""
     begin = max(0, at - 2)
     m = _IBAN.match(text, begin)
     if m and mod97(m.group()):
@@ -129,14 +163,17 @@ def _numbers(text: str, at: int):
 def findings(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, end, kind), in order and without overlap."""
     found: set[tuple[int, int, str]] = set()
-    covered = -1
-    for last, (size, kind) in anchors.iter(text):
+    covered = run = -1
+    for last, (size, kind) in anchors.iter(lowered(text)):
         at = last - size + 1
         if kind == "digits":
-            if at < covered:
-                continue
-            got = list(_numbers(text, at))
-            covered = max([covered, *(e for _, e, _ in got)])
+            got = list(_iban(text, at))
+            if ":" in text[max(0, at - 5) : at + 6]:
+                got += _ipv6(text, at)
+            if at >= covered:
+                left = _LEFT.match(text, max(0, covered), at)
+                covered = _RIGHT.match(text, at).end()
+                got += _numbers(text, left.start() if left else at, covered)
         elif kind == "at":
             got = _email(text, at)
         elif kind == "scheme":
@@ -147,8 +184,15 @@ def findings(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int,
         elif kind == "plus":
             m = _PLUS.match(text, at)
             got = [(at, m.end(), "phone")] if m and 8 <= sum(c.isdigit() for c in m.group()) <= 15 else ()
+        elif kind == "colons":
+            got = _ipv6(text, at)
+        elif kind == "account":
+            m = _ACCOUNT.match(text, last + 1)
+            got = [(m.start(1), m.end(1), "account")] if m else ()
         else:
-            m = _SECRET.match(text, last + 1)
+            # A cue inside the run of an earlier one has no other end, and begins later.
+            m = _SECRET.match(text, last + 1) if last + 1 >= run else None
+            run = m.end(1) if m else run
             got = [(m.start(1), m.end(1), "secret")] if m and any(c.isdigit() for c in m.group(1)) else ()
         found.update(got)
     out: list[tuple[int, int, str]] = []

@@ -15,8 +15,16 @@ CASES = [
     ("card 4111 1111 1111 1111 ok", "card", "4111 1111 1111 1111"),
     ("pay to DE89370400440532013000 please", "iban", "DE89370400440532013000"),
     ("call +44 20 7946 0958 soon", "phone", "+44 20 7946 0958"),
+    ("mail jo@bücher.example now", "email", "jo@bücher.example"),
+    ("host 2001:db8:85a3::8a2e:370:7334 is up", "ip", "2001:db8:85a3::8a2e:370:7334"),
+    ("host 2001:0db8:85a3:0000:0000:8a2e:0370:7334, up", "ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"),
+    ('apiKey: "abcd1234abcd1234"', "secret", "abcd1234abcd1234"),
+    ("Api_Key = " + "q7" * 300, "secret", "q7" * 300),
+    ("tokens token " + "token9" * 20_000, "secret", "token9" * 20_000),
+    ("account number 12345678 given", "account", "12345678"),
+    ("ACCT: 1234-567-890.", "account", "1234-567-890"),
 ]
-CLEAN = ["an @ sign alone", "version 1.2.3.4.5 of 300.1.1.1", "at 10-20-30 we met", "DE00370400440532013000 is no account", "chapter 12, page 1999, 3.14159", "a@b"]
+CLEAN = ["an @ sign alone", "version 1.2.3.4.5 of 300.1.1.1", "at 10-20-30 we met", "DE00370400440532013000 is no account", "chapter 12, page 1999, 3.14159", "a@b", "std::vector of 12:34:56 at 00:1A:2B:3C:4D:5E", "on account of 2024-01-01", "İ token of nothing here"]
 
 
 @pytest.mark.parametrize("text,kind,value", CASES)
@@ -30,6 +38,66 @@ def test_leaves_clean_text_alone(text):
     assert pii.findings(text, pii.automaton()) == []
 
 
+def brute_findings(text):
+    """Every parser's pattern at every position of the text, without anchors, windows or skips."""
+    found = set()
+    low = pii.lowered(text)
+    for i in range(len(text)):
+        if text[i] == "@":
+            found.update(pii._email(text, i))
+        if text.startswith("://", i) and (m := pii._SCHEME.match(text, max(0, i - 16), i)):
+            found.update(pii._url(text, m.start(), i + 3))
+        if low.startswith("www.", i) and not (i and (text[i - 1].isalnum() or text[i - 1] in "/.@")):
+            found.update(pii._url(text, i, i))
+        if (m := pii._IP.match(text, i)) and all(int(x) < 256 for x in m.groups()):
+            found.add((i, m.end(), "ip"))
+        if (m := pii._HEX.match(text, i)) and (i == 0 or text[i - 1] not in "0123456789abcdefABCDEF:"):
+            found.update(pii._ipv6(text, i))
+        for kind, pattern in (("ssn", pii._SSN), ("phone", pii._NATIONAL)):
+            if m := pattern.match(text, i):
+                found.add((i, m.end(), kind))
+        if (m := pii._PLUS.match(text, i)) and 8 <= sum(c.isdigit() for c in m.group()) <= 15:
+            found.add((i, m.end(), "phone"))
+        if m := pii._DIGITS.match(text, i):
+            digits = [c for c in m.group() if c.isdigit()]
+            if 12 <= len(digits) <= 19:
+                found.add((i, m.end(), "card" if len(digits) > 12 and pii.luhn("".join(digits)) else "account"))
+        if (m := pii._IBAN.match(text, i)) and pii.mod97(m.group()):
+            found.add((i, m.end(), "iban"))
+        for cues, pattern, kind in ((pii.CUES, pii._SECRET, "secret"), (pii.ACCOUNTS, pii._ACCOUNT, "account")):
+            for cue in cues:
+                if low.startswith(cue, i) and (m := pattern.match(text, i + len(cue))) and any(c.isdigit() for c in m.group(1)):
+                    found.add((m.start(1), m.end(1), kind))
+    out = []
+    for s, e, kind in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
+        if not out or s >= out[-1][1]:
+            out.append((s, e, kind))
+    return out
+
+
+PARTS = ["jo.doe@mail.example.org", "a@b", "https://example.com/a?b=1", "www.x.example", "192.168.1.2", "1.2.3.4.5", "300.1.1.1", "123-45-6789", "(212) 555-0199", "212 555 0199", "+44 20 7946 0958", "4111 1111 1111 1111", "4111111111111112", "123456789012", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "token = abcdef0123456789abcdef", "API-KEY:", "secret", "account no. 123456", "acct", "2001:db8::1", "::", "12:34:56", "é", "İ", "9", "77", "-", ".", ":", "@", "+", "x" * 20, "\n"]
+
+
+@pytest.mark.parametrize("glue", [" ", ""])
+def test_findings_equal_brute_force_on_mixed_strings(glue):
+    import random
+
+    r, anchors = random.Random(len(glue)), pii.automaton()
+    for _ in range(400):
+        text = glue.join(r.choice(PARTS) for _ in range(r.randrange(1, 9)))
+        assert pii.findings(text, anchors) == brute_findings(text), text
+
+
+def test_query_equals_brute_force(spark, sf):
+    from geoloom.llm import queries
+
+    got = {}
+    for r in queries.find_pii(spark, sf).collect():
+        got.setdefault(r.doc_id, set()).add((r.start_char, r.end_char, r.kind))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert {r.doc_id: set(f) for r in docs if (f := brute_findings(r.text))} == got
+
+
 def test_pii_edge_cases(spark):
     mail = "write to a.b@example.com"
     rows = [row(1, mail), row(1, mail), row(2, None), row(3, ""), row(None, mail), row(4, "x" * 300_000 + " a@example.org " + "9" * 50_000)]
