@@ -22,6 +22,15 @@ def test_quality_on_labels_not_seen(spark):
     assert kept[1, 0] > 0.95 and kept[0, 0] < 0.1
 
 
+def test_toxic_documents_not_seen_are_rejected(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    some = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) > 0)
+    rest = cotraining.scored(docs, some).join(labels.join(some, "doc_id", "left_anti"), "doc_id")
+    kept = {(r.quality, r.toxic): (r.kept, r.n) for r in rest.groupBy("quality", "toxic").agg(F.avg(F.col("keep").cast("int")).alias("kept"), F.count("*").alias("n")).collect()}
+    assert kept[1, 0][0] > 0.98 and kept[0, 0][0] < 0.06 and kept[0, 1][0] < 0.06 and kept[1, 1][0] < 0.2
+
+
 def test_keep_good_agrees_with_scores_and_keeps_columns(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     want = {r.doc_id for r in cotraining.scored(docs, labels).where("keep").select("doc_id").collect()}
@@ -49,21 +58,50 @@ def test_quality_edge_cases(spark):
     assert cotraining.scored(docs.select("doc_id", "text"), labels.limit(0)).where("keep").count() == 10
 
 
-def test_two_views_exchange_labels():
+def two_views(n=1200):
     rng = np.random.default_rng(0)
-    n = 1200
     y = rng.integers(0, 2, n)
     shapes = rng.normal(size=(n, 10)) + y[:, None] * np.array([2.0] + [0] * 9)
     shapes[:, -1] = 1
     word_row = np.arange(n)
     word = np.where(rng.random(n) < 0.9, y, rng.integers(0, 2, n)).astype(np.uint64)
     meta = np.stack([1 + y, np.zeros(n, int), np.zeros(n, int)], axis=1)
-    label = np.where(np.arange(n) < 200, y, -1)
-    aside = np.arange(n) % 4 == 0
-    model = cotraining.cotrained(shapes, word_row, word, meta, label, aside)
-    t, m, both = model.scores(shapes, word_row, word, meta)
-    rest = label < 0
-    assert ((both > 0.5) == y)[rest].mean() > 0.97 and ((t > 0.5) == y)[rest].mean() > 0.85
+    return y, shapes, word_row, word, meta
+
+
+def test_two_views_exchange_labels():
+    y, shapes, row, word, meta = two_views()
+    first, rest = np.arange(200), np.arange(200, len(y))
+    sides = [(shapes[i], row[np.isin(row, i)] - i[0], word[i], meta[i]) for i in (first, rest)]
+
+    def unlabelled(text):
+        rows = text.rows(*sides[1][:3]), cotraining.MetaView.rows(sides[1][3])
+        return lambda before, now: cotraining.slopes(rows, before, now, 0.9)
+
+    aside = first % 4 == 0
+    model = cotraining.cotrained(*sides[0], y[first], aside, unlabelled)
+    t, m, both = model.scores(*sides[1])
+    assert ((both > 0.5) == y[rest]).mean() > 0.97 and ((t > 0.5) == y[rest]).mean() > 0.85
+    assert len(model.exchanged) == 3 and model.exchanged[0][1] > 100 and model.exchanged[-1][0] > 500
+
+
+def test_a_fit_is_the_logistic_regression():
+    rng = np.random.default_rng(2)
+    x = (rng.random((400, 12)) < 0.3).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ rng.normal(size=12))))).astype(float)
+    rows = cotraining.Rows(*np.nonzero(x), 400, 12)
+    assert np.allclose(rows.fitted(y, 1.0), cotraining.logistic(x, y, 1.0), atol=1e-4)
+
+
+def test_the_exchange_covers_every_unlabelled_document(spark):
+    y, shapes, row, word, meta = two_views(900)
+    words = ["river", "stone"]
+    rows = [(i, f"{words[int(w)]} {words[int(w)]} {prose(i, 30)}", "en", f"s{m[0]}", 0) for i, (w, m) in enumerate(zip(word, meta))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(i, int(y[i]), 0) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    model = cotraining.train(docs, labels, confident=0.8)
+    assert model.exchanged[0][0] == 700  # the source tells all, so that it labels every other document
+    assert cotraining.train(docs.union(docs), labels, confident=0.8).exchanged[0][0] == 1400
 
 
 def brute_bits(corpus, text, depth):
