@@ -1,20 +1,29 @@
-"""Approximate nearest neighbours of every vector by a permutation index.
+"""Approximate nearest neighbours by a permutation index.
 
 Pivots are vectors drawn by a hash of their ids, about the square root of the
-table in number and 64 at least. A vector is represented by its `posted` nearest
-pivots and posted in the inverted file of each. Vectors of one inverted file are
-candidates of each other, compared by their exact cosine; each vector keeps its
-best `k`. No list of candidates is cut.
+table in number and 64 at least. A vector is represented by the order of its
+`posted` nearest pivots and posted in the inverted file of each. A query meets
+the vectors of its pivots' files, each once, in the file of the first pivot that
+both have. There their footrule distance is added up over the files of the tile
+from the orders alone,
+
+    sum over pivots of |rank in one - rank in the other|, ranks ending at `posted`,
+
+and the vectors within the radius, nearest first, are reranked by their exact
+cosine; each query keeps its best `k`. No list of candidates is cut by number.
+
+Queries are the rows whose id is divisible by `every`; all rows are posted.
 
 The more pivots, the fewer true neighbours share one of a fixed number. So
-`posted` is measured: `queries` vectors drawn by a hash meet the whole table,
-and it is the least number of pivots, POSTED at least, at which the share
-`recall` of their true neighbours shares one.
+`posted` and the radius are measured: `queries` vectors drawn by a hash meet the
+whole table, `posted` is the least number of pivots, POSTED at least, at which
+the share (1 + `recall`) / 2 of their true neighbours shares one, and the radius
+the least within which the share `recall` of them shares one.
 
-An inverted file is worked on in pairs of tiles of about `tile` vectors, so that
-a crowded pivot is many tasks and none holds more than two tiles. The pivots,
-which grow as the square root of the table, and the queries are all that is
-broadcast; the check is in `pivots_of`.
+An inverted file is worked on in tiles of about `tile` vectors and QUERY_TILE
+queries, so that a crowded pivot is many tasks and none holds more than two
+tiles. The pivots, which grow as the square root of the table, and the drawn
+queries are all that is broadcast; the check is in `pivots_of`.
 
 Result: (vec_id, neighbour_id, rank, cosine); cosines are rounded to 6 decimals
 and ties go to the lower neighbour_id.
@@ -37,9 +46,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, staged
+from .common import discard, ranges, staged
 
-K, POSTED, TILE, LEAST_PIVOTS = 10, 16, 8192, 64
+K, POSTED, TILE, QUERY_TILE, LEAST_PIVOTS, EVERY = 10, 16, 8192, 32_768, 64, 50
 RECALL, QUERIES = 0.98, 256
 PIVOT_BYTES = 256 << 20
 
@@ -82,8 +91,12 @@ def _orders(shared, posted: int):
         pivots = shared.value
         for b in batches:
             if b.num_rows:
-                order = orders(_matrix(b.column("v"), pivots.shape[1]), pivots, posted)
-                yield pa.record_batch([b.column("vec_id"), b.column("v"), pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], ["vec_id", "v", "pivots"])
+                v = _matrix(b.column("v"), pivots.shape[1])
+                order = orders(v, pivots, posted).astype(np.int32)
+                yield pa.record_batch(
+                    [b.column("vec_id"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([x.tobytes() for x in order], pa.binary()), pa.array(list(order), pa.list_(pa.int32()))],
+                    ["vec_id", "v", "ranks", "pivots"],
+                )
 
     return run
 
@@ -103,92 +116,111 @@ def _meet(shared, k: int):
     return run
 
 
-def shared_at(x: np.ndarray, y: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """How many nearest pivots rows of x and y need to share one."""
-    need = []
+def ranks_of(x: np.ndarray, y: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many nearest pivots rows of x and y need to share one, and the larger
+    of both ranks of each pivot, the least first."""
+    need, ranks = [], []  # the best ranks: a closeness of fewer is no larger, so that the radius is no smaller
     for at in range(0, len(x), 512):
-        ranks = [orders(side[at : at + 512], pivots, len(pivots)).argsort(1) for side in (x, y)]
-        need.append(np.maximum(*ranks).min(1) + 1)
-    return np.concatenate(need) if need else np.zeros(0, np.int64)
+        both = [orders(side[at : at + 512], pivots, len(pivots)).argsort(1) for side in (x, y)]
+        least = np.maximum(*both)
+        need.append(least.min(1) + 1)
+        ranks.append(np.sort(least, axis=1)[:, : 8 * POSTED])
+    return np.concatenate(need), np.concatenate(ranks)
+
+
+def closeness(ranks: np.ndarray, posted: int) -> np.ndarray:
+    """Half of the largest footrule distance, posted * (posted + 1) / 2 each, less
+    half of the distance: a pivot at ranks i and j adds posted - max(i, j)."""
+    return np.maximum(posted - ranks, 0).sum(1)
 
 
-def posted_for(rows: DataFrame, pivots: np.ndarray, k: int, recall: float, queries: int) -> int:
-    """The number of pivots to post a vector at; see the module."""
+def measured(rows: DataFrame, pivots: np.ndarray, k: int, recall: float, queries: int, posted: int | None) -> tuple[int, int]:
+    """The number of pivots to post a vector at and the least closeness; see the module."""
     drawn = rows.orderBy(F.xxhash64("vec_id", F.lit("query")), "vec_id").limit(queries).toArrow()
     ids, q = drawn.column("vec_id").to_numpy(), np.array(drawn.column("v").to_pylist(), np.float32)
     met = rows.mapInArrow(_meet(rows.sparkSession.sparkContext.broadcast((ids, q)), k), "q int, vec_id bigint, v array<float>, cosine double").where("cosine > -2")
     by = Window.partitionBy("q").orderBy(F.desc("cosine"), "vec_id")
     best = met.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= k).select("q", "v").toArrow()
     if not best.num_rows:
-        return POSTED
-    need = np.sort(shared_at(q[best.column("q").to_numpy()], np.array(best.column("v").to_pylist(), np.float32), pivots))
-    return max(POSTED, int(need[math.ceil(recall * len(need)) - 1]))
-
-
-def _rows(ids: list, near: list, cosines: list) -> pd.DataFrame:
-    return pd.DataFrame({"vec_id": np.array(ids, np.int64), "ids": pd.Series(near, dtype=object), "cosines": pd.Series(cosines, dtype=object)})
-
-
-def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, alike: bool):
-    """(ids of q, ids of x, cosines), the best k of x for each of q; `alike` if x is q."""
-    # Single precision finds who may be among the best k; doubles decide.
-    slack = 1e-6 + 2.5e-7 * x.shape[1]
-    xt = np.ascontiguousarray(x.T)
-    for at in range(0, len(q), 256):
-        rough = q[at : at + 256] @ xt
-        if alike:
-            rough[np.arange(len(rough)), at + np.arange(len(rough))] = -2
-        least = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(rough), -2, np.float32)
-        i, j = np.nonzero(rough >= np.maximum(least - slack, -1.5)[:, None])
-        parts = [np.einsum("ij,ij->i", q[at + i[c : c + 65536]].astype(float), x[j[c : c + 65536]].astype(float)) for c in range(0, len(i), 65536)]
-        if not parts:
-            continue
-        cosine = np.round(np.concatenate(parts), 6)
-        by = np.lexsort((xid[j], -cosine, i))
-        i, j, cosine = i[by], j[by], cosine[by]
-        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-        i, j, cosine = i[keep], j[keep], cosine[keep]
-        cuts = np.flatnonzero(i[1:] != i[:-1]) + 1
-        yield qid[at + i[np.append(0, cuts)]], np.split(xid[j], cuts), np.split(cosine, cuts)
-
-
-def _tile(k: int):
+        return posted or POSTED, 1
+    need, ranks = ranks_of(q[best.column("q").to_numpy()], np.array(best.column("v").to_pylist(), np.float32), pivots)
+    if posted is None:
+        posted = max(POSTED, int(np.sort(need)[math.ceil((1 + recall) / 2 * len(need)) - 1]))
+    posted = min(posted, len(pivots))
+    close = np.sort(closeness(ranks, posted))[::-1]
+    return posted, max(1, int(close[math.ceil(recall * len(close)) - 1]))
+
+
+class Files:
+    """The inverted files of a tile of vectors."""
+
+    def __init__(self, ranks: np.ndarray):
+        self.n, self.posted = ranks.shape
+        flat = ranks.ravel()
+        by = np.argsort(flat, kind="stable")
+        self.row, self.weight = by // self.posted, self.posted - by % self.posted
+        self.pivot, self.start = np.unique(flat[by], return_index=True)
+        self.end = np.append(self.start[1:], len(flat))
+
+    def close(self, order: np.ndarray, pivot: int) -> np.ndarray:
+        """The closeness of each vector's order to a query's, 0 where an earlier
+        pivot of the query than `pivot` is shared."""
+        at = np.minimum(np.searchsorted(self.pivot, order), len(self.pivot) - 1)
+        size = np.where(self.pivot[at] == order, self.end[at] - self.start[at], 0)
+        entry = ranges(self.start[at], size)
+        mine = np.repeat(self.posted - np.arange(self.posted), size)
+        total = np.bincount(self.row[entry], np.minimum(self.weight[entry], mine), self.n)
+        before = int(size[: int(np.flatnonzero(order == pivot)[0])].sum())
+        total[self.row[entry[:before]]] = 0
+        return total
+
+
+def _tile(k: int, least: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, low, high = pdf["own"].to_numpy(), int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
-        v, ids = np.stack(pdf["v"].to_numpy()).astype(np.float32), pdf["vec_id"].to_numpy()
-        a, b = own == low, own == high
-        sides = [(a, b)] if low == high else [(a, b), (b, a)]
-        out_q, out_ids, out_cos = [], [], []
-        for q, x in sides:
-            if q.any() and x.any():
-                for some, near, cosines in _best(v[q], ids[q], v[x], ids[x], k, low == high):
-                    out_q.extend(some)
-                    out_ids.extend(near)
-                    out_cos.extend(cosines)
-        return _rows(out_q, out_ids, out_cos)
+        pivot, asks = int(pdf["pivot"].iloc[0]), pdf["ask"].to_numpy()
+        read = lambda some, c, kind: np.frombuffer(b"".join(pdf[c].to_numpy()[some]), kind).reshape(int(some.sum()), -1)
+        x, q = (read(some, "v", np.float32).astype(float) for some in (~asks, asks))
+        if not len(x) or not len(q):
+            return _NONE
+        files, asked = Files(read(~asks, "ranks", np.int32)), read(asks, "ranks", np.int32)
+        xid, qid = (pdf["vec_id"].to_numpy()[some] for some in (~asks, asks))
+        out = []
+        for i in range(len(q)):
+            close = files.close(asked[i], pivot)
+            j = np.flatnonzero((close >= least) & (xid != qid[i]))
+            j = j[np.argsort(-close[j], kind="stable")]
+            cosine = np.round(x[j] @ q[i], 6)
+            j = j[np.lexsort((xid[j], -cosine))[:k]]
+            out.append((np.full(len(j), qid[i]), xid[j], np.round(x[j] @ q[i], 6)))
+        return pd.DataFrame({c: np.concatenate([o[n] for o in out]) for n, c in enumerate(("vec_id", "neighbour_id", "cosine"))})
 
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, posted: int | None = None, recall: float = RECALL, tile: int = TILE, queries: int = QUERIES) -> DataFrame:
-    """(vec_id, neighbour_id, rank, cosine); see the module. A given `posted` isn't measured."""
+_NONE = pd.DataFrame({"vec_id": np.zeros(0, np.int64), "neighbour_id": np.zeros(0, np.int64), "cosine": np.zeros(0)})
+
+
+def neighbours(vectors: DataFrame, k: int = K, posted: int | None = None, recall: float = RECALL, tile: int = TILE, queries: int = QUERIES, every: int = EVERY) -> DataFrame:
+    """(vec_id, neighbour_id, rank, cosine) of the vectors whose id `every` divides; see the module."""
     spark = vectors.sparkSession
     rows = staged(usable(vectors), "ann-rows")
     n = rows.count()
     pivots = pivots_of(rows, n) if n else np.zeros((0, 1), np.float32)
-    if posted is None:
-        posted = posted_for(rows, pivots, k, recall, queries) if n else POSTED
-    shared = spark.sparkContext.broadcast(pivots)
-    ranked = rows.mapInArrow(_orders(shared, posted), "vec_id bigint, v array<float>, pivots array<int>")
+    posted, least = measured(rows, pivots, k, recall, queries, posted) if n else (POSTED, 1)
+    posted = min(posted, max(len(pivots), 1))
+    ranked = rows.mapInArrow(_orders(spark.sparkContext.broadcast(pivots), posted), "vec_id bigint, v binary, ranks binary, pivots array<int>")
     ranked = staged(ranked, "ann-orders")
     discard(rows)
-    files = ranked.select(F.explode("pivots").alias("pivot")).groupBy("pivot").count().select("pivot", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    posts = ranked.select("vec_id", "v", F.explode("pivots").alias("pivot")).join(F.broadcast(files), "pivot")  # a row for each pivot
-    own = F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int")
-    posts = posts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    posts = posts.select("pivot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "vec_id", "v")
-    best = posts.groupBy("pivot", "low", "high").applyInPandas(_tile(k), "vec_id bigint, ids array<bigint>, cosines array<double>")
-    met = best.groupBy("vec_id").agg(F.flatten(F.collect_list(F.arrays_zip("ids", "cosines"))).alias("all"))
-    met = met.select("vec_id", F.inline("all")).groupBy("vec_id", F.col("ids").alias("neighbour_id")).agg(F.max("cosines").alias("cosine"))
+    asked = F.pmod("vec_id", F.lit(every)) == 0
+    files = ranked.select(F.explode("pivots").alias("pivot"), asked.cast("int").alias("ask")).groupBy("pivot").agg(F.count("*").alias("n"), F.sum("ask").alias("asks")).where("asks > 0")
+    # A row for each pivot.
+    files = F.broadcast(files.select("pivot", F.ceil(F.col("n") / tile).cast("int").alias("tiles"), F.ceil(F.col("asks") / QUERY_TILE).cast("int").alias("blocks")))
+    own = lambda c: F.pmod(F.xxhash64("vec_id"), F.col(c)).cast("int")
+    every_one = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    columns = ("pivot", "tile", "block", "ask", "vec_id", "v", "ranks")
+    posts = ranked.select("vec_id", "v", "ranks", F.explode("pivots").alias("pivot"))
+    there = posts.join(files, "pivot").withColumn("tile", own("tiles")).withColumn("block", every_one("blocks")).withColumn("ask", F.lit(False)).select(*columns)
+    asks = posts.where(asked).join(files, "pivot").withColumn("block", own("blocks")).withColumn("tile", every_one("tiles")).withColumn("ask", F.lit(True)).select(*columns)
+    met = there.union(asks).groupBy("pivot", "tile", "block").applyInPandas(_tile(k, least), "vec_id bigint, neighbour_id bigint, cosine double")
     by = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour_id")
     return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("vec_id", "neighbour_id", "rank", "cosine")

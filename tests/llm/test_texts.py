@@ -195,12 +195,42 @@ def brute(ids, x, k):
     return {i: [ids[j] for j in sorted(range(len(ids)), key=lambda j: (-s[n, j], ids[j]))[:k] if ids[j] != i] for n, i in enumerate(ids)}
 
 
+def test_queries_are_the_ids_that_fifty_divides(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    pdf = df.toPandas()
+    ids, x = pdf["vec_id"].to_numpy(), np.stack(pdf["embedding"]).astype(float)
+    some = ids % 50 == 0
+    want = {}
+    for i, q in zip(ids[some], x[some]):
+        s = np.round(x @ q, 6)
+        s[ids == i] = -9
+        want[i] = set(ids[np.lexsort((ids, -s))[:10]])
+    got = permutation.neighbours(df).toPandas().groupby("vec_id")["neighbour_id"].apply(set)
+    assert set(got.index) <= set(want)
+    assert sum(len(want[i] & got.get(i, set())) for i in want) >= 0.96 * 10 * len(want)
+
+
+def test_closeness_is_the_footrule_distance():
+    rng = np.random.default_rng(1)
+    posted = 5
+    ranks = np.stack([rng.permutation(9)[:posted] for _ in range(40)]).astype(np.int32)
+    files, q = permutation.Files(ranks), rng.permutation(9)[:posted].astype(np.int32)
+    place = lambda order: {int(p): i for i, p in enumerate(order)}
+    for pivot in q:
+        close = files.close(q, pivot)
+        for i, row in enumerate(ranks):
+            a, b = place(q), place(row)
+            foot = sum(abs(a.get(p, posted) - b.get(p, posted)) for p in range(9))
+            earlier = any(p in b for p in q[: a[int(pivot)]])
+            assert close[i] == (0 if earlier else (posted * (posted + 1) - foot) / 2)
+
+
 @pytest.mark.parametrize("tile", [8192, 60])
 def test_recall_of_neighbours(spark, tile):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     pdf = df.toPandas()
     want = brute(pdf["vec_id"].tolist(), np.stack(pdf["embedding"]).astype(float), 10)
-    got = permutation.neighbours(df, tile=tile).toPandas().sort_values(["vec_id", "rank"]).groupby("vec_id")["neighbour_id"].apply(list)
+    got = permutation.neighbours(df, tile=tile, every=1).toPandas().sort_values(["vec_id", "rank"]).groupby("vec_id")["neighbour_id"].apply(list)
     hits = sum(len(set(want[i]) & set(got.get(i, []))) for i in want)
     assert hits >= 0.95 * 10 * len(want)
 
@@ -216,7 +246,7 @@ def test_posted_pivots_follow_their_number(spark, monkeypatch):
     cosines[np.arange(len(some)), some] = -2
     want = {int(q): set(np.argsort(-c)[:10].tolist()) for q, c in zip(some, cosines)}
     got = {}
-    for r in permutation.neighbours(df).where(F.col("vec_id").isin(list(want))).collect():
+    for r in permutation.neighbours(df, every=20).where(F.col("vec_id").isin(list(want))).collect():
         got.setdefault(r.vec_id, set()).add(r.neighbour_id)
     assert sum(len(want[q] & got.get(q, set())) for q in want) >= 0.97 * 10 * len(want)
 
@@ -225,7 +255,7 @@ def test_neighbour_edge_cases(spark):
     e = [1.0, 0.0]
     rows = [(1, e, "a"), (2, e, "a"), (3, [0.5, 0.0], "a"), (3, [0.5, 0.0], "a"), (4, None, "a"), (5, [], None), (6, [0.0, 0.0], "a"), (7, [float("nan"), 1.0], "a"), (8, [1.0, 2.0, 3.0], "a"), (None, e, "a"), (9, [0.0, 1.0], "a"), (10, [1.0, None], "a"), (11, [1e-300, 0.0], "a")]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, v string").withColumn("pivot", F.lit(1))
-    out = permutation.neighbours(df)
+    out = permutation.neighbours(df, every=1)
     got = {}
     for r in out.orderBy("vec_id", "rank").collect():
         got.setdefault(r.vec_id, []).append((r.neighbour_id, r.cosine))
