@@ -2,13 +2,19 @@
 counted over the corpus; repeated windows merge into maximal intervals.
 
 A token is a run of bytes above 0x20. Every window of `window` tokens inside a
-document has a 64-bit Rabin-Karp hash. Sending (hash, document, position) as
-rows would cost some 30 bytes a window, so each map task sorts its hashes and
-packs them by hash range: a blob has one range's hashes as 6-byte gaps (8 bytes
-where a gap is larger) and 3- or 4-byte positions, and names its documents, so
-nothing depends on the order in which a table is scanned. Spark's shuffle on
-the range brings equal hashes together, where they are counted. Only windows
-counted twice or more go on, to be merged by document.
+document has a 64-bit Rabin-Karp hash. Steps:
+
+1. a map task sorts the hashes of a piece of the corpus. Of a hash that occurs
+   again in the piece, all but the first by (doc_id, position) are known to be
+   repeats and leave as such; the first goes on with a mark. So one hash has one
+   entry a piece, however many documents share the passage;
+2. the entries are packed by hash range: 6-byte gaps (8 where a gap is larger),
+   document ids and positions in as many bytes as they need. There are as many
+   ranges as make one about PART_BYTES, so that no task grows with the corpus;
+   beyond MOST_PARTS ranges, coarse ranges are made first, and merged pieces of
+   them are deduplicated again and cut into the fine ones;
+3. a range's task finds the hashes with two entries or a mark; only these
+   windows go on, to be merged by document.
 
 Result: (doc_id, start_token, end_token, action), half-open maximal runs of
 tokens. 'keep' covers the windows that occur here first (by doc_id, then
@@ -23,10 +29,10 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +40,9 @@ from pyspark.sql import functions as F
 from .common import ranges, runs, slices, spans_hash, tokens, utf8
 
 WINDOW = 50
-PIECE = 6 << 20
+PIECE, PART_BYTES, MOST_PARTS = 6 << 20, 12 << 20, 8192
+#: Bytes of entries for a byte of a table's files.
+ENTRY_SHARE = 2.5
 
 
 def order(h: np.ndarray) -> np.ndarray:
@@ -62,102 +70,139 @@ def unpacked(data: memoryview | bytes, width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _blob(h: np.ndarray, pos: np.ndarray, ids: np.ndarray, base: np.ndarray) -> dict:
-    """h sorted. pos: token positions in the piece, documents' first tokens at base."""
-    gaps = np.diff(h, prepend=h[:1])
-    gaps[0] = 0
-    gap_width = 6 if int(gaps.max()) < 1 << 48 else 8
-    pos_width = 3 if int(pos.max()) < 1 << 24 else 4
-    own = np.flatnonzero(np.bincount(np.searchsorted(base, pos, "right") - 1, minlength=len(base)))
-    return {
-        "first": int(h[:1].view(np.int64)[0]),
-        "widths": gap_width * 10 + pos_width,
-        "gaps": packed(gaps, gap_width),
-        "pos": packed(pos.astype(np.uint64), pos_width),
-        "ids": ids[own].astype("<i8").tobytes(),
-        "base": base[own].astype("<i8").tobytes(),
-    }
-
-
-def _map(window: int, parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+_SCHEMA = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("first", pa.int64()), ("least", pa.int64()), ("widths", pa.int32()), ("gaps", pa.binary()), ("docs", pa.binary()), ("codes", pa.binary())])
+_COLUMNS = "part int, n int, first bigint, least bigint, widths int, gaps binary, docs binary, codes binary"
+
+
+def _width(values: np.ndarray) -> int:
+    return max(1, -(-int(values.max()).bit_length() // 8))
+
 
-        def flush():
-            nonlocal held, size
-            at, hashes, positions, ids, bases = 0, [], [], [], []
-            for h, first, own, base in held:
-                hashes.append(h)
-                positions.append(first + at)
-                ids.append(own)
-                bases.append(base[:-1] + at)
-                at += int(base[-1])
-            h, pos = np.concatenate(hashes), np.concatenate(positions)
-            held, size = [], 0
-            if not len(h):
-                return None
-            ids, base = np.concatenate(ids), np.concatenate(bases)
-            by = order(h)
-            h, pos = h[by], pos[by]
-            edges = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
-            cut = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
-            rows = [{"part": i} | _blob(h[a:b], pos[a:b], ids, base) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            return pa.RecordBatch.from_pylist(rows, _SCHEMA)
+def _blob(part: int, h: np.ndarray | None, doc: np.ndarray, code: np.ndarray) -> dict:
+    """Entries of sorted hashes, or without hashes windows known to be repeats."""
+    least = int(doc.min())
+    away = (doc - least).view(np.uint64)
+    gaps, gap_width, first = b"", 0, 0
+    if h is not None:
+        step = np.diff(h, prepend=h[:1])
+        gap_width = 6 if int(step.max()) < 1 << 48 else 8
+        gaps, first = packed(step, gap_width), int(h[:1].view(np.int64)[0])
+    widths = (_width(away), _width(code))
+    return {"part": part, "n": len(doc), "first": first, "least": least, "widths": gap_width * 100 + widths[0] * 10 + widths[1], "gaps": gaps, "docs": packed(away, widths[0]), "codes": packed(code, widths[1])}
 
+
+def _read(blob: dict) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+    gap, doc, code = blob["widths"] // 100, blob["widths"] // 10 % 10, blob["widths"] % 10
+    h = None
+    if gap:
+        step = unpacked(blob["gaps"], gap)
+        step[0] = np.array([blob["first"]], np.int64).view(np.uint64)[0]
+        h = np.cumsum(step, dtype=np.uint64)
+    return h, unpacked(blob["docs"], doc).view(np.int64) + blob["least"], unpacked(blob["codes"], code)
+
+
+def distinct(h: np.ndarray, doc: np.ndarray, code: np.ndarray):
+    """(hashes, documents, codes) with one entry a hash, the first by document
+    and position, in order of the hashes, and (documents, codes) of the others.
+    A code is twice a position, plus 1 if the window is known to occur again."""
+    by = order(h)
+    h, doc, code = h[by], doc[by], code[by]
+    start, size = runs(h)
+    if len(start) == len(h):
+        return (h, doc, code), (doc[:0], code[:0])
+    many = np.flatnonzero(size > 1)
+    at = ranges(start[many], size[many])
+    group = np.repeat(many, size[many])
+    by = np.lexsort((code[at], doc[at], group))
+    at, group = at[by], group[by]
+    lead = np.append(True, group[1:] != group[:-1])
+    top, rest = start.copy(), at[~lead]
+    top[group[lead]] = at[lead]
+    out = code[top]
+    out[size > 1] |= np.uint64(1)
+    return (h[start], doc[top], out), (doc[rest], code[rest] & ~np.uint64(1))
+
+
+def _blobs(h: np.ndarray, doc: np.ndarray, code: np.ndarray, parts: int, every: int) -> pa.RecordBatch:
+    """The entries as blobs of `parts` ranges, each `every` fine ones."""
+    (h, doc, code), (doc2, code2) = distinct(h, doc, code)
+    edges = (np.arange(every, parts, every, dtype=object) * (1 << 64) // parts).astype(np.uint64)
+    cut = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
+    rows = [_blob(i * every, h[a:b], doc[a:b], code[a:b]) for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
+    if len(doc2):
+        rows.append(_blob(int(h[0]) % parts // every * every, None, doc2, code2))
+    return pa.RecordBatch.from_pylist(rows, _SCHEMA)
+
+
+def _map(window: int, parts: int, every: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
         for whole in batches:
             for part in slices(whole):
                 h, _, _, doc = tokens(*utf8(part.column("text")))
-                n = part.num_rows
                 first = np.flatnonzero(doc[: len(doc) - window + 1] == doc[window - 1 :]) if len(doc) >= window else np.zeros(0, np.int64)
                 if not len(first):
                     continue
-                base = np.searchsorted(doc, np.arange(n + 1))
-                full = np.flatnonzero(np.diff(base))
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)[full]
-                held.append((spans_hash(h, first, window), first, ids, np.append(base[full], base[-1])))
+                base = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                own = doc[first]
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                held.append((spans_hash(h, first, window), ids[own], ((first - base[own]) << 1).astype(np.uint64)))
                 size += part.nbytes
                 if size >= PIECE:
-                    if (out := flush()) is not None:
-                        yield out
-        if held and (out := flush()) is not None:
-            yield out
+                    yield _blobs(*map(np.concatenate, zip(*held)), parts, every)
+                    held, size = [], 0
+        if held:
+            yield _blobs(*map(np.concatenate, zip(*held)), parts, every)
 
     return run
 
 
-_SCHEMA = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("widths", pa.int32()), ("gaps", pa.binary()), ("pos", pa.binary()), ("ids", pa.binary()), ("base", pa.binary())])
+def _refine(parts: int):
+    """Blobs of coarse ranges to blobs of fine ones, by pieces of a few million entries."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for blob in b.to_pylist():
+                if blob["widths"] < 100:  # repeats go on as they are
+                    yield pa.RecordBatch.from_pylist([blob | {"part": (blob["first"] + blob["least"] + blob["n"]) % parts}], _SCHEMA)
+                    continue
+                held.append(_read(blob))
+                n += blob["n"]
+                if n >= PIECE // 4:
+                    yield _blobs(*map(np.concatenate, zip(*held)), parts, 1)
+                    held, n = [], 0
+        if held:
+            yield _blobs(*map(np.concatenate, zip(*held)), parts, 1)
 
-def _count(pdf: pd.DataFrame) -> pd.DataFrame:
-    hashes, where, docs = [], [], []
-    for r in pdf.itertuples(index=False):
-        gaps = unpacked(r.gaps, r.widths // 10)
-        gaps[0] = np.array([r.first], np.int64).view(np.uint64)[0]
-        hashes.append(np.cumsum(gaps, dtype=np.uint64))
-        pos = unpacked(r.pos, r.widths % 10).astype(np.int64)
-        ids, base = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.base, "<i8")
-        own = np.searchsorted(base, pos, "right") - 1
-        where.append((pos - base[own]).astype(np.int32))
-        docs.append(ids[own])
-    pdf = None
-    h = np.concatenate(hashes)
-    hashes = None
-    by = order(h)
-    start, length = runs(h[by])
-    many = length > 1
-    at = by[ranges(start[many], length[many])]
-    group = np.repeat(np.arange(int(many.sum())), length[many])
-    doc, pos = np.concatenate(docs)[at], np.concatenate(where)[at]
-    by = np.lexsort((pos, doc, group))
-    doc, pos, group = doc[by], pos[by], group[by]
-    first = np.append(True, group[1:] != group[:-1])[: len(group)]
-    code = pos.astype(np.int64) << 1 | first
+    return run
+
+
+def _by_document(doc: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
+    """Codes here: twice a position, plus 1 for the first window of its hash."""
     by = np.lexsort((code, doc))
-    doc, code = doc[by], code[by]
-    start, length = runs(doc)
+    doc, code = doc[by], code[by].astype(np.int64)
+    start, _ = runs(doc)
     cut = np.split(code.astype("<i4" if not len(code) or code.max() < 1 << 31 else "<i8"), start[1:]) if len(start) else []
-    return pd.DataFrame({"doc_id": doc[start], "wide": [x.itemsize == 8 for x in cut], "windows": [x.tobytes() for x in cut]})
+    return pa.record_batch([pa.array(doc[start], pa.int64()), pa.array([x.itemsize == 8 for x in cut], pa.bool_()), pa.array([x.tobytes() for x in cut], pa.binary())], ["doc_id", "wide", "windows"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition holds one range, or more of them where Spark joins partitions."""
+    held: dict[int, list] = {}
+    for b in batches:
+        for blob in b.to_pylist():
+            h, doc, code = _read(blob)
+            if h is None:
+                yield _by_document(doc, code)
+            else:
+                held.setdefault(blob["part"], []).append((h, doc, code))
+    while held:
+        _, blobs = held.popitem()
+        (h, doc, code), (doc2, code2) = distinct(*map(np.concatenate, zip(*blobs)))
+        again = (code & np.uint64(1)) == 1
+        yield _by_document(np.concatenate([doc[again], doc2]), np.concatenate([code[again], code2]))
 
 
 def merged(pos: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -174,7 +219,7 @@ def _merge(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, starts, ends, actions = [], [], [], []
-            for doc, wide, blobs in zip(b.column("doc_id").to_pylist(), b.column("wide").to_pylist(), b.column("all").to_pylist()):
+            for doc, blobs in zip(b.column("doc_id").to_pylist(), b.column("all").to_pylist()):
                 code = np.unique(np.concatenate([np.frombuffer(x["windows"], "<i8" if x["wide"] else "<i4").astype(np.int64) for x in blobs]))
                 for action, bit in (("keep", 1), ("remove", 0)):
                     for s, e in merged(code[code & 1 == bit] >> 1, window):
@@ -184,14 +229,24 @@ def _merge(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, parts: int | None = None) -> DataFrame:
-    """The maximal intervals of repeated windows; see the module."""
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _size(docs: DataFrame) -> int:
+    """Bytes of the input: what Spark knows of its files, or else its texts' length."""
+    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return known if known < 1 << 52 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, parts: int | None = None, most: int = MOST_PARTS) -> DataFrame:
+    """The maximal intervals of repeated windows; see the module. `parts` ranges
+    are made, by default as many as the input's size needs."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    blobs = docs.mapInArrow(_map(window, parts), "part int, first bigint, widths int, gaps binary, pos binary, ids binary, base binary")
-    hits = blobs.groupBy("part").applyInPandas(_count, "doc_id bigint, wide boolean, windows binary")
-    by_doc = hits.groupBy("doc_id").agg(F.max("wide").alias("wide"), F.collect_list(F.struct("wide", "windows")).alias("all"))
+    parts = parts or max(1, math.ceil(_size(docs) * ENTRY_SHARE / PART_BYTES))
+    every = math.ceil(parts / most) * 16 if parts > most else 1
+    blobs = docs.mapInArrow(_map(window, parts, every), _COLUMNS)
+    if every > 1:
+        coarse = math.ceil(parts / every)
+        blobs = blobs.repartitionById(coarse, (F.col("part") / every).cast("int")).mapInArrow(_refine(parts), _COLUMNS)
+    hits = blobs.repartitionById(parts, F.col("part")).mapInArrow(_count, "doc_id bigint, wide boolean, windows binary")
+    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("wide", "windows")).alias("all"))
     return by_doc.mapInArrow(_merge(window), "doc_id bigint, start_token bigint, end_token bigint, action string")
 
 

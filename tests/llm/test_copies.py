@@ -139,6 +139,24 @@ def test_repeated_windows_against_brute_force(spark):
     assert {tuple(r) for r in got.collect()} == brute_windows(docs, 20)
 
 
+@pytest.mark.parametrize("parts,most", [(1, 8192), (40, 8192), (40, 3)])
+def test_ranges_of_any_number_and_hot_passages_give_the_same(spark, monkeypatch, parts, most):
+    hot = prose(9, 25)
+    docs = [(i * 7 % 300, (hot + " " + prose(1000 + i, 30)) if i % 3 else prose(1000 + i % 5, 60)) for i in range(300)] + [(7, hot + " " + hot)]
+    monkeypatch.setattr(substring, "PIECE", 4000)  # many pieces
+    got = substring.repeated_spans(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), 20, parts, most)
+    assert {tuple(r) for r in got.collect()} == brute_windows(docs, 20)
+
+
+def test_a_hash_has_one_entry_a_piece():
+    h = np.repeat(np.arange(3, dtype=np.uint64), [1, 500, 2])
+    rng = np.random.default_rng(0)
+    by = rng.permutation(len(h))
+    doc, code = np.arange(503)[::-1].copy(), np.zeros(503, np.uint64)
+    (one, first, mark), (others, _) = substring.distinct(h[by], doc[by], code[by])
+    assert one.tolist() == [0, 1, 2] and first.tolist() == [502, 2, 0] and mark.tolist() == [0, 1, 1] and len(others) == 500
+
+
 def test_repeated_windows_edge_cases(spark):
     got = defaultdict(set)
     for r in substring.repeated_spans(frame(spark)).collect():
