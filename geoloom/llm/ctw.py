@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, slices, staged, utf8
+from .common import discard, runs, slices, staged, utf8
 
 DEPTH, SHARD = 5, 1 << 25
 HELD = 1 << 22
@@ -209,7 +209,8 @@ def model(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 class Prices:
-    """Bits by gram: sorted grams behind an index of their upper halves."""
+    """Bits by gram, in the order of the grams. Lookups are sorted too, and made
+    once for each distinct gram, so that they run through memory in order."""
 
     def __init__(self, gram: np.ndarray, bits: np.ndarray):
         by = np.argsort(gram)
@@ -219,9 +220,14 @@ class Prices:
         """The bits of each gram, 0 where another shard has it."""
         if not len(self.gram):
             return np.zeros(len(g))
-        at = np.searchsorted(self.gram, g)
-        np.minimum(at, len(self.gram) - 1, out=at)
-        return np.where(self.gram[at] == g, self.bits[at], 0.0)
+        by = np.argsort(g)
+        s = g[by]
+        start, size = runs(s)
+        wanted = s[start]
+        at = np.minimum(np.searchsorted(self.gram, wanted), len(self.gram) - 1)
+        out = np.empty(len(g))
+        out[by] = np.repeat(np.where(self.gram[at] == wanted, self.bits[at], 0.0), size)
+        return out
 
 
 def _score(depth: int, shared):
