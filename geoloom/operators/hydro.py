@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.functions.lineage import cut
+from geoloom.functions.lineage import cut, discard
+from geoloom.functions.sizes import running
 
 #: Directions 0 to 7 as (dy, dx): E, NE, N, NW, W, SW, S, SE; y grows southwards.
 OFFSETS = ((0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1))
@@ -70,7 +71,8 @@ def accumulate(edges: DataFrame, weights: dict[str, Column] | None = None) -> Da
         gain = now.where("next IS NOT NULL").groupBy(F.col("next").alias("cell")).agg(*[F.sum(n).alias(f"_{n}") for n in names])
         after = now.select(F.col("cell").alias("next"), F.col("next").alias("_next"))
         step = now.join(gain, "cell", "left").join(after, "next", "left")
-        now = cut(step.select("cell", F.col("_next").alias("next"), *[(F.col(n) + F.coalesce(F.col(f"_{n}"), F.lit(0.0))).alias(n) for n in names]), "flow")
+        before, now = now, cut(step.select("cell", F.col("_next").alias("next"), *[(F.col(n) + F.coalesce(F.col(f"_{n}"), F.lit(0.0))).alias(n) for n in names]), "flow")
+        discard(before)
     return now.select("cell", *names)
 
 
@@ -82,7 +84,8 @@ def downstream(edges: DataFrame, cost: Column, stop: Column) -> DataFrame:
     while now.where("next IS NOT NULL").limit(1).count():
         after = now.select(F.col("cell").alias("next"), F.col("next").alias("_next"), F.col("cost").alias("_cost"), F.col("last").alias("_last"))
         step = now.join(after, "next", "left")
-        now = cut(step.select("cell", F.col("_next").alias("next"), (F.col("cost") + F.coalesce("_cost", F.lit(0.0))).alias("cost"), F.coalesce("_last", "last").alias("last")), "path")
+        before, now = now, cut(step.select("cell", F.col("_next").alias("next"), (F.col("cost") + F.coalesce("_cost", F.lit(0.0))).alias("cost"), F.coalesce("_last", "last").alias("last")), "path")
+        discard(before)
     return now.select("cell", "cost", "last")
 
 
@@ -108,11 +111,10 @@ def connectivity(edges: DataFrame, threshold: float, size: float = 1.0, least_sl
 def subwatersheds(edges: DataFrame, heights: DataFrame, least: int = 200) -> DataFrame:
     """(cell, basin): basins by their sinks, numbered by the sinks' heights (ties
     by cell); basins of fewer than `least` cells are left out. heights: (cell, height)."""
-    from pyspark.sql.window import Window
-
     ends = downstream(edges, F.lit(0.0), F.lit(False)).select("cell", F.col("last").alias("sink"))
     sinks = ends.groupBy("sink").agg(F.count("*").alias("n")).join(heights.select(F.col("cell").alias("sink"), "height"), "sink")
-    numbered = sinks.withColumn("basin", F.row_number().over(Window.orderBy("height", "sink"))).where(F.col("n") >= least)
+    one = sinks.withColumn("_one", F.lit(1))
+    numbered = running(one, F.struct("height", "sink"), "sum", "_one", "basin", "basins").withColumn("basin", F.col("basin").cast("int")).where(F.col("n") >= least)
     return ends.join(numbered.select("sink", "basin"), "sink").select("cell", "basin")
 
 
@@ -167,8 +169,11 @@ def fill_by_relaxation(df: DataFrame, value: str = "elevation", rounds_a_check:
         for _ in range(rounds_a_check):
             low = F.least(*[F.col(f"n{k}") for k in range(8)])
             around = neighbours(step, "w").select("cell", low.alias("low"))
-            step = cut(step.join(around, "cell").withColumn("w", F.when(F.col("edge"), z).otherwise(F.least("w", F.greatest(z, "low")))).drop("low"), "fill")
+            last, step = step, cut(step.join(around, "cell").withColumn("w", F.when(F.col("edge"), z).otherwise(F.least("w", F.greatest(z, "low")))).drop("low"), "fill")
+            if last is not now:
+                discard(last)
         moved = step.select("cell", F.col("w").alias("v")).join(now.select("cell", "w"), "cell").where("v <> w").limit(1).count()
+        discard(now)
         now = step
         if not moved:
             return now.select("cell", "y", "x", F.col("w").alias("filled"))
