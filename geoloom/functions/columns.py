@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -105,7 +106,7 @@ def line_length(points: Column) -> Column:
 def albers(lon, lat) -> tuple[Column, Column]:
     """Metres east and north in the equal-area conic of the contiguous United
     States (GRS80, parallels 29.5 and 45.5, origin 23 N 96 W), after Snyder."""
-    import math
+
 
     a, e2 = 6378137.0, 0.006694380022903
     e = math.sqrt(e2)
@@ -125,3 +126,18 @@ def albers(lon, lat) -> tuple[Column, Column]:
     rho = a * F.sqrt(c - n * here) / n
     theta = n * F.radians(_c(lon) + 96.0)
     return rho * F.sin(theta), rho0 - rho * F.cos(theta)
+
+
+def student_p(t: Column, freedom: Column) -> Column:
+    """Two-sided p of Student's t with whole degrees of freedom: the finite series
+    in the angle whose tangent is t over the root of the degrees."""
+    n = freedom.cast("int")
+    angle = F.atan(F.abs(t) / F.sqrt(n))
+    cos2, odd = F.pow(F.cos(angle), 2), n % 2
+    # Of terms that each are the one before times (k - 1 + odd) / (k + odd) times the squared cosine, k = 1, 3, ..
+    steps = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 2 - odd) / 2).cast("int"), F.lit(0))), lambda j: 2 * j + 1 + odd)
+    zero = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
+    added = F.aggregate(steps, zero, lambda a, k: F.struct((a["term"] * cos2 * k / (k + 1)).alias("term"), (a["total"] + a["term"]).alias("total")))["total"]
+    even_inside = F.sin(angle) * added
+    odd_inside = 2 / math.pi * (angle + F.when(n > 1, F.sin(angle) * F.cos(angle) * added).otherwise(0.0))
+    return F.when(t.isNotNull(), F.greatest(1 - F.when(odd == 1, odd_inside).otherwise(even_inside), F.lit(0.0)))

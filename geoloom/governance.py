@@ -15,6 +15,8 @@ from enum import IntEnum
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.functions.sizes import small
+
 
 class AccessDenied(PermissionError):
     """A read or a release that the rules don't permit."""
@@ -213,7 +215,7 @@ def care_assessment(spark: SparkSession, answers: Mapping[str, bool | None]) ->
     principle NULL; an unanswered question counts as unmet."""
     questions = spark.createDataFrame([(p, q) for p, qs in CARE.items() for q in qs], "principle string, question string")
     given = spark.createDataFrame([(q, a) for q, a in answers.items()] or [], "question string, answer boolean")
-    joined = questions.join(F.broadcast(given), "question", "left")
+    joined = questions.join(small(given), "question", "left")
     return joined.rollup("principle").agg(F.count("*").alias("questions"), F.count_if("answer").alias("met"), F.count_if(F.col("answer").isNull()).alias("unaddressed"))
 
 

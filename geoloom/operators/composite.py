@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from geoloom.functions.sizes import ranked, small
+
 METHODS = ("minmax", "zscore", "rank")
 
 
@@ -31,22 +33,29 @@ def melted(df: DataFrame, key: str, indicators: Sequence[str]) -> DataFrame:
     return df.select(key, *[F.col(c).cast("double").alias(c) for c in indicators]).unpivot([key], list(indicators), "indicator", "value")
 
 
-def normalized(long: DataFrame, key: str, method: str = "minmax", invert: Sequence[str] = ()) -> DataFrame:
+def normalized(long: DataFrame, key: str, method: str = "minmax", invert: Sequence[str] = (), reference: DataFrame | None = None) -> DataFrame:
     """long with `score`: minmax (0.5 where flat), zscore by the population
-    deviation (0 where flat), or rank over n; inverted as 1 - score."""
+    deviation (0 where flat), or rank over n; inverted as 1 - score. Flat is a
+    spread under 1e-12. With `reference` (indicator, value), the spread of minmax
+    and zscore is that of its rows, so that scores stay when entities are added."""
     if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}")
     w = Window.partitionBy("indicator")
     v = F.col("value")
+    stats = {"_lo": F.min("value"), "_hi": F.max("value"), "_mean": F.avg("value"), "_sd": F.stddev_pop("value")}
+    if reference is not None and method != "rank":
+        # A row for each indicator.
+        long = long.join(F.broadcast(reference.groupBy("indicator").agg(*[f.alias(c) for c, f in stats.items()])), "indicator", "left")
+        lo, hi, mean, sd = map(F.col, stats)
+    else:
+        lo, hi, mean, sd = (f.over(w) for f in stats.values())
     if method == "minmax":
-        lo, hi = F.min("value").over(w), F.max("value").over(w)
-        score = F.when(hi > lo, F.try_divide(v - lo, hi - lo)).when(v.isNotNull(), 0.5)
+        score = F.when(hi - lo >= 1e-12, F.try_divide(v - lo, hi - lo)).when(v.isNotNull(), 0.5)
     elif method == "zscore":
-        sd = F.stddev_pop("value").over(w)
-        score = F.when(sd > 0, F.try_divide(v - F.avg("value").over(w), sd)).when(v.isNotNull(), 0.0)
+        score = F.when(sd >= 1e-12, F.try_divide(v - mean, sd)).when(v.isNotNull(), 0.0)
     else:
         score = F.when(v.isNotNull(), average_rank(F.asc_nulls_last("value"), ["indicator"], "value") / F.count("value").over(w))
-    out = long.withColumn("score", score)
+    out = long.withColumn("score", score).drop(*stats)
     return out.withColumn("score", F.when(F.col("indicator").isin(list(invert)), 1 - F.col("score")).otherwise(F.col("score"))) if invert else out
 
 
@@ -58,17 +67,18 @@ def _weights(indicators: Sequence[str], weights: Mapping[str, float] | None) ->
     return {c: weights[c] / total for c in indicators}
 
 
-def composite(df: DataFrame, key: str, indicators: Sequence[str], weights: Mapping[str, float] | None = None, method: str = "minmax", invert: Sequence[str] = (), digits: int | None = 12) -> DataFrame:
+def composite(df: DataFrame, key: str, indicators: Sequence[str], weights: Mapping[str, float] | None = None, method: str = "minmax", invert: Sequence[str] = (), digits: int | None = 12, reference: DataFrame | None = None) -> DataFrame:
     """(key, composite, rank): weighted sum of scores, NULL if one is NULL, and
-    the average rank from the best down, cut to an integer."""
+    the average rank from the best down, cut to an integer. `reference` has the
+    indicators as columns, as df has."""
     w = _weights(indicators, weights)
-    long = normalized(melted(df, key, indicators), key, method, invert)
+    long = normalized(melted(df, key, indicators), key, method, invert, None if reference is None else melted(reference, key, indicators))
     weight = F.coalesce(*[F.when(F.col("indicator") == c, F.lit(x)) for c, x in w.items()])
     out = long.groupBy(key).agg(F.when(F.count("score") == len(w), F.sum(F.col("score") * weight)).alias("composite"))
     if digits is not None:
         out = out.withColumn("composite", F.round("composite", digits))
-    rank = average_rank(F.desc_nulls_last("composite"), [], "composite")
-    return out.withColumn("rank", F.when(F.col("composite").isNotNull(), rank.cast("int")))
+    out = ranked(out, F.desc_nulls_last("composite"), "composite")
+    return out.withColumn("rank", F.when(F.col("composite").isNotNull(), F.col("rank").cast("int")))
 
 
 def dirichlet(spark, indicators: Sequence[str], draws: int = 5000, seed: int = 0, concentration: float = 1.0, around: Mapping[str, float] | None = None) -> DataFrame:
@@ -83,7 +93,7 @@ def dirichlet(spark, indicators: Sequence[str], draws: int = 5000, seed: int = 0
 def weight_sensitivity(long: DataFrame, key: str, draws: DataFrame, digits: int | None = 3) -> DataFrame:
     """(key, rank, probability, mean_score, score_p05, score_p95) over draws of
     weights; `long` has scores. Ties take the order of the keys."""
-    scored = long.join(F.broadcast(draws), "indicator").groupBy("draw", key).agg(F.round(F.sum(F.col("score") * F.col("weight")), 12).alias("s"))
+    scored = long.join(small(draws), "indicator").groupBy("draw", key).agg(F.round(F.sum(F.col("score") * F.col("weight")), 12).alias("s"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("draw").orderBy(F.desc("s"), key)))
     n = draws.select("draw").distinct().count()
     spread = ranked.groupBy(key).agg(F.avg("s").alias("mean_score"), F.percentile("s", F.lit(0.05)).alias("score_p05"), F.percentile("s", F.lit(0.95)).alias("score_p95"))
@@ -139,6 +149,24 @@ def community_weighted(components: DataFrame, weights: Mapping[str, float] | Non
     return components.withColumns({"weight": F.bround(weight, 3), "contribution": F.bround(weight * F.col("score"), 4), "weights_source": F.lit(weights_source)})
 
 
+def weight_spread(components: DataFrame, draws: DataFrame) -> DataFrame:
+    """One row: mean, 5 % and 95 % point, least and most of the index over draws
+    of weights (draw, indicator, weight): how far the weights alone move it."""
+    by = components.join(small(draws), F.col("component") == F.col("indicator")).groupBy("draw").agg(F.sum(F.col("score") * F.col("weight")).alias("s"))
+    p = lambda x: F.percentile("s", F.lit(x))
+    return by.agg(F.avg("s").alias("mean"), p(0.05).alias("p05"), p(0.95).alias("p95"), F.min("s").alias("least"), F.max("s").alias("most"))
+
+
+def hazards(key: str, trends: Mapping[str, DataFrame], value: str = "slope") -> DataFrame:
+    """(key, one column a trend): the hazard table of one row a region from
+    several trend tables; a region that one of them lacks has NULL there."""
+    long = None
+    for name, df in trends.items():
+        part = df.select(key, F.lit(name).alias("hazard"), F.col(value).cast("double").alias("v"))
+        long = part if long is None else long.unionByName(part)
+    return long.groupBy(key).pivot("hazard", list(trends)).agg(F.first("v"))
+
+
 def priority(high_share, recovery) -> Column:
     return F.col(high_share) * (1 - F.least(F.greatest(F.coalesce(F.col(recovery), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
 

@@ -8,14 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions.columns import in_polygon
-
-#: A side is broadcast if its rows are at most this many.
-SMALL = 100_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has at most SMALL rows; else Spark decides."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+from geoloom.functions.sizes import is_small, small
 
 
 def polygons(spark, rings: Mapping[str, Sequence[tuple[float, float]]]) -> DataFrame:
@@ -28,12 +21,15 @@ def polygons(spark, rings: Mapping[str, Sequence[tuple[float, float]]]) -> DataF
 
 def points_in_polygons(points: DataFrame, px: str, py: str, shapes: DataFrame, how: str = "inner", tile: float | None = None) -> DataFrame:
     """Points with each polygon that they are in; `left` keeps the others. The
-    bounding box is tested before the ring. Few polygons are broadcast; for
-    many, `tile` joins by the square tiles that the boxes touch."""
+    bounding box is tested before the ring. Polygons of few bytes are broadcast;
+    others are joined by the square tiles that the boxes touch, of side `tile`,
+    by default twice the mean side of a box."""
     x, y = F.col(px), F.col(py)
     inside = x.between(F.col("minx"), F.col("maxx")) & y.between(F.col("miny"), F.col("maxy")) & in_polygon(x, y, F.col("ring"))
+    if tile is None and is_small(shapes):
+        return points.join(F.broadcast(shapes), inside, how)
     if tile is None:
-        return points.join(small(shapes), inside, how)
+        tile = shapes.select(F.avg((F.col("maxx") - F.col("minx") + F.col("maxy") - F.col("miny")))).first()[0] or 1.0
     span = lambda a, b: F.sequence(F.floor(F.col(a) / tile), F.floor(F.col(b) / tile))
     tiled = shapes.withColumn("_tx", F.explode(span("minx", "maxx"))).withColumn("_ty", F.explode(span("miny", "maxy")))
     p = points.withColumns({"_px": F.floor(x / tile), "_py": F.floor(y / tile)})
@@ -65,10 +61,25 @@ def exposure_by_zone(sampled: DataFrame, zone: str, value: str) -> DataFrame:
     return sampled.groupBy(zone).agg(F.count("*").alias("assets"), F.sum(value).alias("total"))
 
 
-def distance_weighted(assets: DataFrame, key: str, px: str, py: str, cells: DataFrame, hazard: str, decays: Sequence[float]) -> DataFrame:
+KM_PER_DEGREE = 111.0
+
+
+def in_km(df: DataFrame, lon: str, lat: str, cells: DataFrame, y: str = "y") -> DataFrame:
+    """df with `lon` and `lat`, degrees, as kilometres; a degree of longitude is
+    that of the mean latitude of the rows of the grid `cells`."""
+    mean = cells.select(y).distinct().agg(F.radians(F.avg(y)).alias("_mean"))
+    wide = df.crossJoin(F.broadcast(mean))  # one row
+    return wide.withColumns({lon: F.col(lon) * KM_PER_DEGREE * F.cos("_mean"), lat: F.col(lat) * KM_PER_DEGREE}).drop("_mean")
+
+
+def distance_weighted(assets: DataFrame, key: str, px: str, py: str, cells: DataFrame, hazard: str, decays: Sequence[float], degrees: bool = False) -> DataFrame:
     """(asset, decay, exposure): mean hazard of the cells within three decay
-    lengths, weighted by exp(-distance / decay). A band join: both sides carry
-    the square of side 3 decays, cells repeat to the squares around theirs."""
+    lengths, weighted by exp(-distance / decay); NULL for an asset with none in
+    reach. With `degrees`, positions are degrees and decays kilometres. A band
+    join: both sides carry the square of side 3 decays, cells repeat to the
+    squares around theirs."""
+    if degrees:
+        assets, cells = in_km(assets, px, py, cells), in_km(cells, "x", "y", cells)
     parts = []
     for decay in decays:
         reach = 3.0 * decay
@@ -79,7 +90,8 @@ def distance_weighted(assets: DataFrame, key: str, px: str, py: str, cells: Data
         a = assets.select(key, px, py, bin_(px).alias("bx"), bin_(py).alias("by"))
         away = F.hypot(F.col(px) - F.col("cx"), F.col(py) - F.col("cy"))
         near = a.join(c, ["bx", "by"]).withColumn("away", away).where(F.col("away") <= reach).withColumn("w", F.exp(-F.col("away") / decay))
-        parts.append(near.groupBy(key).agg((F.sum(F.col("h") * F.col("w")) / F.sum("w")).alias("exposure")).withColumn("decay", F.lit(float(decay))))
+        found = near.groupBy(key).agg(F.try_divide(F.sum(F.col("h") * F.col("w")), F.sum("w")).alias("exposure"))
+        parts.append(assets.select(key).join(found, key, "left").withColumn("decay", F.lit(float(decay))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from geoloom.functions.sizes import running
+
 _NORMAL = NormalDist()
 
 
@@ -49,7 +51,14 @@ def mann_kendall(df: DataFrame, keys: Sequence[str], time: str, value: str, leas
 
 
 def fdr(df: DataFrame, p: str = "p", keys: Sequence[str] = ()) -> DataFrame:
-    """df with q, the Benjamini-Hochberg value of each p (NULL for NULL)."""
+    """df with q, the Benjamini-Hochberg value of each p (NULL for NULL). Without
+    keys, as for all cells of a map, ranges of p run up instead of one window."""
+    if not keys:
+        known = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_n"))
+        upto = running(known, F.col(p), "sum", "_n", "_upto", "fdr")
+        raw = upto.crossJoin(F.broadcast(known.agg(F.sum("_n").alias("_m")))).select(F.col(p).alias("_p"), (F.col(p) * F.col("_m") / F.col("_upto")).alias("_raw"))
+        q = running(raw, F.desc("_p"), "min", "_raw", "_q", "fdr").select("_p", F.least("_q", F.lit(1.0)).alias("q"))
+        return df.join(q, F.col(p) == F.col("_p"), "left").drop("_p")
     part = Window.partitionBy(*keys, F.col(p).isNull())
     order = part.orderBy(p)
     m = F.count(p).over(part)
@@ -177,70 +186,86 @@ def gamma_fit(x: np.ndarray) -> tuple[float, float]:
     return k, float(x.mean()) / k
 
 
-def gamma_cdf(x: float, k: float) -> float:
-    """Regularised lower incomplete gamma function: series, or continued fraction."""
-    if x <= 0:
-        return 0.0
-    front = math.exp(k * math.log(x) - x - math.lgamma(k))
-    if x < k + 1:
-        term = total = 1 / k
-        a = k
-        while abs(term) > 1e-15 * abs(total):
-            a += 1
-            term *= x / a
-            total += term
-        return total * front
-    b = x + 1 - k
-    c, d = 1e300, 1 / b
-    h = d
-    for i in range(1, 10_000):
-        a = -i * (i - k)
-        b += 2
-        d = 1 / ((a * d + b) or 1e-300)
-        c = (b + a / c) or 1e-300
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return 1 - front * h
+def gamma_cdf(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Regularised lower incomplete gamma function, element by element: a series
+    for x < k + 1, a continued fraction beyond."""
+    x, k = np.broadcast_arrays(np.asarray(x, float), np.asarray(k, float))
+    out = np.zeros(x.shape)
+    shapes, which = np.unique(k, return_inverse=True)
+    front = np.exp(k * np.log(np.maximum(x, 1e-300)) - x - np.array([math.lgamma(v) for v in shapes])[which].reshape(k.shape))
+    low, high = (x > 0) & (x < k + 1), (x > 0) & (x >= k + 1)
+    if low.any():
+        v, a = x[low], k[low].copy()
+        term = total = 1 / a
+        for _ in range(10_000):
+            a = a + 1
+            term = term * v / a
+            total = total + term
+            if (np.abs(term) <= 1e-15 * np.abs(total)).all():
+                break
+        out[low] = total * front[low]
+    if high.any():
+        v, shape = x[high], k[high]
+        b = v + 1 - shape
+        c, d = np.full(len(v), 1e300), 1 / b
+        h = d.copy()
+        for i in range(1, 10_000):
+            a = -i * (i - shape)
+            b = b + 2
+            d = a * d + b
+            d = 1 / np.where(d == 0, 1e-300, d)
+            c = b + a / c
+            c = np.where(c == 0, 1e-300, c)
+            h = h * d * c
+            if (np.abs(d * c - 1) < 1e-15).all():
+                break
+        out[high] = 1 - front[high] * h
+    return out
 
 
-def _z(p: float) -> float:
-    return _NORMAL.inv_cdf(min(max(p, 1e-6), 1 - 1e-6))
+def _z(p: np.ndarray) -> list[float | None]:
+    return [None if math.isnan(v) else _NORMAL.inv_cdf(v) for v in np.clip(p, 1e-6, 1 - 1e-6).tolist()]
 
 
-def spi_month(x: np.ndarray, base: np.ndarray) -> list[float | None]:
-    """Standardised values of one calendar month; base marks the calibration years."""
+def spi_probability(x: np.ndarray, base: np.ndarray, month: np.ndarray) -> np.ndarray:
+    """Probabilities under each calendar month's fit; base marks the calibration
+    years. NaN where there are too few of them."""
+    zero, shape, scale = (np.full(len(x), np.nan) for _ in range(3))
     valid = np.isfinite(x)
-    cal = x[valid & base]
-    if len(cal) < 15 or (cal > 0).sum() < 10:
-        return [None] * len(x)
-    q = float((cal == 0).mean())
-    k, scale = gamma_fit(cal[cal > 0])
-    return [None if not ok else _z(q / 2 if v <= 0 else q + (1 - q) * gamma_cdf(v / scale, k)) for v, ok in zip(x.tolist(), valid)]
+    for m in np.unique(month):
+        own = month == m
+        cal = x[own & valid & base]
+        if len(cal) >= 15 and (cal > 0).sum() >= 10:
+            zero[own] = float((cal == 0).mean())
+            shape[own], scale[own] = gamma_fit(cal[cal > 0])
+    out = np.full(len(x), np.nan)
+    use = valid & np.isfinite(zero)
+    q, v = zero[use], x[use]
+    out[use] = np.where(v <= 0, q / 2, q + (1 - q) * gamma_cdf(np.maximum(v, 0) / scale[use], shape[use]))
+    return out
 
 
-def spei_month(x: np.ndarray, base: np.ndarray) -> list[float | None]:
-    """Standardised balances by a log-logistic fit of L-moments."""
-    valid = np.isfinite(x)
-    cal = np.sort(x[valid & base])
-    n = len(cal)
-    if n < 15 or cal[0] == cal[-1]:
-        return [None] * len(x)
-    f = (np.arange(1, n + 1) - 0.35) / n
-    w0, w1, w2 = cal.mean(), float((cal * (1 - f)).mean()), float((cal * (1 - f) ** 2).mean())
-    beta = (2 * w1 - w0) / (6 * w1 - w0 - 6 * w2)
-    if not math.isfinite(beta) or abs(beta) <= 1:
-        beta = math.copysign(1.0001, beta) if math.isfinite(beta) else 1.0001
-    g = math.gamma(1 + 1 / beta) * math.gamma(1 - 1 / beta)
-    alpha = (w0 - 2 * w1) * beta / g
-    low = w0 - alpha * g
-    out: list[float | None] = []
-    for v, ok in zip(x.tolist(), valid):
-        if not ok:
-            out.append(None)
+def spei_probability(x: np.ndarray, base: np.ndarray, month: np.ndarray) -> np.ndarray:
+    """The same of balances, by log-logistic fits of L-moments."""
+    out, valid = np.full(len(x), np.nan), np.isfinite(x)
+    for m in np.unique(month):
+        own = (month == m) & valid
+        cal = np.sort(x[own & base])
+        n = len(cal)
+        if n < 15 or cal[0] == cal[-1]:
             continue
-        ratio = alpha / (v - low) if v != low else math.inf
-        out.append(_z(0.0 if ratio <= 0 and beta > 0 else 1 / (1 + ratio**beta) if ratio > 0 else 1.0))
+        f = (np.arange(1, n + 1) - 0.35) / n
+        w0, w1, w2 = cal.mean(), float((cal * (1 - f)).mean()), float((cal * (1 - f) ** 2).mean())
+        bottom = 6 * w1 - w0 - 6 * w2
+        beta = (2 * w1 - w0) / bottom if bottom else math.nan
+        if not math.isfinite(beta) or abs(beta) <= 1:
+            beta = math.copysign(1.0001, beta) if math.isfinite(beta) else 1.0001
+        g = math.gamma(1 + 1 / beta) * math.gamma(1 - 1 / beta)
+        alpha = (w0 - 2 * w1) * beta / g
+        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+            ratio = alpha / (x[own] - (w0 - alpha * g))
+            inside = 1 / (1 + np.where(ratio > 0, ratio, 1.0) ** beta)
+        out[own] = np.where(np.isinf(ratio), 0.0 if beta > 0 else 1.0, np.where(ratio > 0, inside, 0.0 if beta > 0 else 1.0))
     return out
 
 
@@ -250,23 +275,23 @@ def _drought(df: DataFrame, keys: Sequence[str], month: str, value, scale: int,
     d = df.withColumn("_v", v).withColumn("_x", F.when(F.count("_v").over(w) == scale, F.sum("_v").over(w)))
     base = F.lit(True) if calibration is None else F.year(month).between(*calibration)
     d = d.select(*keys, month, F.month(month).alias("_m"), "_x", base.alias("_b"))
+    kinds = dict(df.dtypes)
 
-    def run(pdf: pd.DataFrame) -> list[dict]:
-        pdf = pdf.sort_values(month)
-        z = fit(pdf["_x"].to_numpy(float), pdf["_b"].to_numpy(bool))
-        return [{month: t, "z": a} for t, a in zip(pdf[month], z)]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = _z(fit(pdf["_x"].to_numpy(float), pdf["_b"].to_numpy(bool), pdf["_m"].to_numpy()))
+        return pdf[[*keys, month]].assign(z=pd.array(z, dtype="Float64"))
 
-    return _grouped(d, [*keys, "_m"], f"{month} date, z double", run).drop("_m")
+    return d.groupBy(*keys).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, month)) + ", z double")
 
 
 def spi(df: DataFrame, keys: Sequence[str], month: str, value: str, scale: int = 3, calibration: tuple[int, int] | None = None) -> DataFrame:
     """(keys, month, z): standardised precipitation of `scale` months."""
-    return _drought(df, keys, month, value, scale, calibration, spi_month)
+    return _drought(df, keys, month, value, scale, calibration, spi_probability)
 
 
 def spei(df: DataFrame, keys: Sequence[str], month: str, precipitation: str, demand: str, scale: int = 3, calibration: tuple[int, int] | None = None) -> DataFrame:
     """(keys, month, z): the same of precipitation less evaporative demand."""
-    return _drought(df, keys, month, F.col(precipitation) - F.col(demand), scale, calibration, spei_month)
+    return _drought(df, keys, month, F.col(precipitation) - F.col(demand), scale, calibration, spei_probability)
 
 
 def recovery_curve(t: np.ndarray, y: np.ndarray) -> dict:

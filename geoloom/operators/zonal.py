@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geoloom.functions.columns import correlation
+from geoloom.functions.columns import correlation, student_p
 
 
 def zonal(df: DataFrame, zone: str, value: str, above: float, least: int = 1) -> DataFrame:
@@ -81,31 +81,44 @@ def cause_profile(df: DataFrame, cause: str, size: str, large: float = 100.0) ->
 
 
 def predictor_bins(df: DataFrame, predictor: str, severity: str, bins: int = 10, least: int = 50, high: int = 3) -> DataFrame:
-    """(bin, n, predictor, mean_severity, pct_high) over quantile bins of the predictor."""
+    """(bin, predictor_lo, predictor_hi, n, mean_severity, pct_high) over quantile
+    bins of the predictor; `spearman(out, "predictor_lo", "pct_high")` tests them."""
     df = df.where(F.col(predictor).isNotNull() & F.col(severity).isNotNull())
-    edges = df.agg(F.percentile(predictor, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
-    edges = edges.select(F.array_distinct("edges").alias("edges"))
-    k = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(predictor))))
-    out = k.groupBy("bin").agg(F.count("*").alias("n"), F.avg(predictor).alias("predictor"), F.avg(severity).alias("mean_severity"), (100.0 * F.avg((F.col(severity) == high).cast("int"))).alias("pct_high"))
+    edges = df.agg(F.percentile(predictor, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("edges"))
+    edges = edges.select(F.array_distinct("edges").alias("edges")).where("size(edges) > 1")
+    inner = F.slice("edges", F.lit(2), F.size("edges") - 2)
+    # The edges are one row.
+    k = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col(predictor))))
+    out = k.groupBy("bin").agg(
+        F.min(F.col("edges")[F.col("bin")]).alias("predictor_lo"), F.min(F.col("edges")[F.col("bin") + 1]).alias("predictor_hi"),
+        F.count("*").alias("n"), F.avg(severity).alias("mean_severity"), (100.0 * F.avg((F.col(severity) == high).cast("int"))).alias("pct_high"),
+    )
     return out.where(F.col("n") >= least)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: rank correlation with average ranks, of a table small enough for
-    one task (bins, zones)."""
+    """One row (rho, n, p): rank correlation with average ranks, of a table small
+    enough for one task (bins, zones), and its two-sided p by Student's t."""
 
     def ranked(c: str) -> Column:
         w = Window.orderBy(c)
         return F.rank().over(w) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
 
     r = df.select(ranked(a).alias("ra"), ranked(b).alias("rb"))
-    return r.agg(F.when(F.count("*") > 2, correlation("ra", "rb")).alias("rho"), F.count("*").alias("n"))
-
-
-def recovery_by_class(df: DataFrame, klass: str, year: str, value: str, before: str, least: int = 100, floor: float = 0.05) -> DataFrame:
-    """(class, year, n, mean, ratio) for groups of at least `least` cells."""
-    out = df.groupBy(klass, year).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.avg(F.when(F.col(before) > floor, F.try_divide(F.col(value), F.col(before)))).alias("ratio"))
-    return out.where(F.col("n") >= least)
+    one = r.agg(F.when(F.count("*") > 2, correlation("ra", "rb")).alias("rho"), F.count("*").alias("n"))
+    t = F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
+    return one.withColumn("p", F.when(F.abs("rho") > 1 - 1e-12, 0.0).otherwise(student_p(t, F.col("n") - 2)))
+
+
+def recovery_by_class(df: DataFrame, cell: str, klass: str, year: str, value: str, before: str, least: int = 100, floor: float = 0.05) -> DataFrame:
+    """(class, year, n, mean, before, ratio) of classes of at least `least` cells:
+    the mean of a year over the mean before, which is over all the class's cells;
+    NULL where that isn't above `floor`."""
+    cells = df.groupBy(cell, klass).agg(F.max(before).alias("before"))
+    base = cells.groupBy(klass).agg(F.count("*").alias("n"), F.avg("before").alias("before")).where(F.col("n") >= least)
+    years = df.groupBy(klass, year).agg(F.avg(value).alias("mean"))
+    ratio = F.when(F.col("before") > floor, F.try_divide("mean", "before"))
+    return years.join(base, klass).select(klass, year, "n", "mean", "before", ratio.alias("ratio"))
 
 
 def coarsened(df: DataFrame, factor: int, how: str = "avg", values: Sequence[str] = ("elevation",), y: str = "y", x: str = "x") -> DataFrame:

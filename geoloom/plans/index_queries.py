@@ -29,8 +29,8 @@ _IND = """a AS (SELECT c_nationkey AS id, count(*) AS accounts, round(avg(c_acct
 c AS (SELECT s_nationkey AS id, count(*) AS suppliers, round(avg(s_acctbal), 6) AS stock FROM supplier GROUP BY 1), wide AS (SELECT * FROM a JOIN b USING (id) JOIN c USING (id)),
 long AS (""" + " UNION ALL ".join(f"SELECT id, '{n}' AS indicator, CAST({n} AS DOUBLE) AS value, {WEIGHTS[n] / sum(WEIGHTS.values())!r} AS weight, {n in INVERT} AS flip FROM wide" for n in NAMES) + ")"
 _SCORE = {
-    "minmax": "CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0) ELSE 0.5 END",
-    "zscore": "CASE WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) ELSE 0 END",
+    "minmax": "CASE WHEN max(value) OVER w - min(value) OVER w >= 1e-12 THEN (value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0) ELSE 0.5 END",
+    "zscore": "CASE WHEN stddev_pop(value) OVER w >= 1e-12 THEN (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) ELSE 0 END",
     "rank": "(rank() OVER (PARTITION BY indicator ORDER BY value) + (count(*) OVER (PARTITION BY indicator, value) - 1) / 2.0) / count(*) OVER w",
 }
 
@@ -66,6 +66,16 @@ def composite_rank(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, d, "rank")
 
 
+@query(f"""WITH {_IND}, ref AS (SELECT indicator, avg(value) AS mu, stddev_pop(value) AS sd FROM long JOIN nation ON n_nationkey = id WHERE n_regionkey = 0 GROUP BY 1),
+s AS (SELECT id, weight, flip, CASE WHEN sd >= 1e-12 THEN (value - mu) / nullif(sd, 0) ELSE 0 END AS s FROM long JOIN ref USING (indicator)),
+t AS (SELECT id, round(sum(CASE WHEN flip THEN 1 - s ELSE s END * weight), 12) AS composite FROM s GROUP BY id) SELECT id, round(composite, 6) AS composite, {_RANK.format(p='', q='')} AS rank FROM t""")
+def composite_against_reference(spark: SparkSession, d: str) -> DataFrame:
+    """All nations by the spread of one region's: the reference set."""
+    wide = indicators(spark, d)
+    own = wide.join(table(spark, d, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("id")), "id")
+    return C.composite(wide, "id", NAMES, WEIGHTS, "zscore", INVERT, reference=own).withColumn("composite", F.round("composite", 6))
+
+
 @query("WITH " + ", ".join(f"{m} AS ({_composite(m)})" for m in C.METHODS) + """
 SELECT minmax.id, minmax.rank AS minmax, zscore.rank AS zscore, rank.rank AS "rank", greatest(minmax.rank, zscore.rank, rank.rank) - least(minmax.rank, zscore.rank, rank.rank) AS spread FROM minmax JOIN zscore USING (id) JOIN rank USING (id)""")
 def normalisation_agreement(spark: SparkSession, d: str) -> DataFrame:

@@ -70,12 +70,27 @@ def nearest_cell_exposure(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CELLS}, {ASSETS}, k AS (SELECT unnest([0.8, 1.5]) AS decay),
-n AS (SELECT asset, decay, slope, sqrt(power(px - x, 2) + power(py - y, 2)) AS away FROM assets JOIN cells ON x BETWEEN px - 4.5 AND px + 4.5 AND y BETWEEN py - 4.5 AND py + 4.5, k)
-SELECT asset, CAST(decay AS DOUBLE) AS decay, round(sum(slope * exp(-away / decay)) / sum(exp(-away / decay)), 4) AS exposure FROM n WHERE away <= 3 * decay GROUP BY 1, 2""")
+n AS (SELECT asset, decay, slope, sqrt(power(px - x, 2) + power(py - y, 2)) AS away FROM assets JOIN cells ON x BETWEEN px - 4.5 AND px + 4.5 AND y BETWEEN py - 4.5 AND py + 4.5, k),
+e AS (SELECT asset, decay, sum(slope * exp(-away / decay)) / sum(exp(-away / decay)) AS exposure FROM n WHERE away <= 3 * decay GROUP BY 1, 2)
+SELECT a.asset, CAST(k.decay AS DOUBLE) AS decay, round(exposure, 4) AS exposure FROM assets a CROSS JOIN k LEFT JOIN e ON e.asset = a.asset AND e.decay = k.decay""")
 def distance_weighted_exposure(spark: SparkSession, d: str) -> DataFrame:
     return S.distance_weighted(assets(spark, d), "asset", "px", "py", cells(spark, d), "slope", (0.8, 1.5)).withColumn("exposure", F.round("exposure", 4))
 
 
+# The grid as degrees: a hundredth of one a cell from 10 E, 40 N.
+_GRID = "g AS (SELECT 10 + x / 100.0 AS x, 40 + y / 100.0 AS y, slope FROM cells), p AS (SELECT asset, 10 + px / 100.0 AS px, 40 + py / 100.0 AS py FROM assets)"
+
+
+@query(f"""WITH {CELLS}, {ASSETS}, {_GRID}, m AS (SELECT 111 * cos(radians(avg(y))) AS e FROM (SELECT DISTINCT y FROM g)),
+n AS (SELECT asset, slope, sqrt(power((px - x) * e, 2) + power((py - y) * 111, 2)) AS away FROM p JOIN g ON x BETWEEN px - 0.1 AND px + 0.1 AND y BETWEEN py - 0.1 AND py + 0.1, m),
+e AS (SELECT asset, sum(slope * exp(-away / 2)) / sum(exp(-away / 2)) AS exposure FROM n WHERE away <= 6 GROUP BY 1)
+SELECT asset, CAST(2 AS DOUBLE) AS decay, round(exposure, 4) AS exposure FROM p LEFT JOIN e USING (asset)""")
+def distance_weighted_km(spark: SparkSession, d: str) -> DataFrame:
+    g = cells(spark, d).select((10 + F.col("x") / 100.0).alias("x"), (40 + F.col("y") / 100.0).alias("y"), "slope")
+    p = assets(spark, d).select("asset", (10 + F.col("px") / 100.0).alias("px"), (40 + F.col("py") / 100.0).alias("py"))
+    return S.distance_weighted(p, "asset", "px", "py", g, "slope", (2.0,), degrees=True).withColumn("exposure", F.round("exposure", 4))
+
+
 _AREAS = [("trust", 0.0, 0.0, 12.0, 9.0), ("fee", 8.0, 4.0, 21.5, 17.0), ("allotted", 3.0, 14.0, 9.5, 23.0), ("trust", 18.0, 1.0, 23.0, 6.0)]
 
 
@@ -164,27 +179,49 @@ def parallel_trends(spark: SparkSession, d: str) -> DataFrame:
     return Z.parallel_trends(j, "nir", F.col("slope") > 25, "year", 2000).withColumn("drift", F.round("drift", 6))
 
 
-@query(f"""WITH {CELLS}, {_SCENE}, b AS (SELECT cell, nir AS before FROM cube WHERE year = 1996), k AS (SELECT CAST(slope >= 15 AS INT) + CAST(slope >= 30 AS INT) + CAST(slope >= 45 AS INT) AS class, year, nir, before FROM cube JOIN cells USING (cell) JOIN b USING (cell))
-SELECT CAST(class AS INT) AS class, CAST(year AS INT) AS year, count(nir) AS n, round(avg(nir), 6) AS mean, round(avg(CASE WHEN before > 0.05 THEN nir / before END), 6) AS ratio FROM k GROUP BY 1, 2 HAVING count(nir) >= 100""")
+@query(f"""WITH {CELLS}, {_SCENE}, c AS (SELECT CAST(slope >= 15 AS INT) + CAST(slope >= 30 AS INT) + CAST(slope >= 45 AS INT) AS class, cell, year, nir FROM cube JOIN cells USING (cell)),
+m AS (SELECT DISTINCT class, cell FROM c), p AS (SELECT class, count(*) AS n, avg(cube.nir) AS before FROM m LEFT JOIN cube ON cube.cell = m.cell AND year = 1996 GROUP BY class)
+SELECT CAST(class AS INT) AS class, CAST(year AS INT) AS year, any_value(n) AS n, round(avg(nir), 6) AS mean, round(any_value(before), 6) AS before, CASE WHEN any_value(before) > 0.05 THEN round(avg(nir) / any_value(before), 6) END AS ratio
+FROM c JOIN p USING (class) WHERE n >= 100 GROUP BY class, year""")
 def recovery_by_class(spark: SparkSession, d: str) -> DataFrame:
     c = cube(spark, d)
-    k = c.join(cells(spark, d).select("cell", R.severity_class("slope", edges=(15, 30, 45)).alias("class")), "cell").join(c.where("year = 1996").select("cell", F.col("nir").alias("before")), "cell")
-    return Z.recovery_by_class(k, "class", "year", "nir", "before").withColumns({x: F.round(x, 6) for x in ("mean", "ratio")})
+    k = c.join(cells(spark, d).select("cell", R.severity_class("slope", edges=(15, 30, 45)).alias("class")), "cell").join(c.where("year = 1996").select("cell", F.col("nir").alias("before")), "cell", "left")
+    return Z.recovery_by_class(k, "cell", "class", "year", "nir", "before").withColumns({x: F.round(x, 6) for x in ("mean", "before", "ratio")})
 
 
-@query(f"""WITH {CELLS}, k AS (SELECT elevation AS p, CAST(slope >= 15 AS INT) + CAST(slope >= 30 AS INT) + CAST(slope >= 45 AS INT) AS s FROM cells), e AS (SELECT list_distinct(quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM k),
-b AS (SELECT CAST(len(list_filter(e, lambda v: v <= p)) AS INT) AS bin, p, s FROM k, e)
-SELECT bin, count(*) AS n, round(avg(p), 6) AS predictor, round(avg(s), 6) AS mean_severity, round(100.0 * avg(CAST(s = 3 AS INT)), 6) AS pct_high FROM b GROUP BY bin HAVING count(*) >= 50""")
-def predictor_bins(spark: SparkSession, d: str) -> DataFrame:
+_BINS = f"""WITH {CELLS}, k AS (SELECT elevation AS p, CAST(slope >= 15 AS INT) + CAST(slope >= 30 AS INT) + CAST(slope >= 45 AS INT) AS s FROM cells), q AS (SELECT list_distinct(quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS d FROM k), e AS (SELECT list_sort(d) AS e FROM q),
+b AS (SELECT CAST(len(list_filter(e[2 : len(e) - 1], lambda v: v <= p)) AS INT) AS bin, e, s FROM k, e), bins AS (SELECT bin, round(any_value(e[bin + 1]), 6) AS predictor_lo, round(any_value(e[bin + 2]), 6) AS predictor_hi, count(*) AS n, round(avg(s), 6) AS mean_severity, round(100.0 * avg(CAST(s = 3 AS INT)), 6) AS pct_high FROM b GROUP BY bin HAVING count(*) >= 50)"""
+
+
+def _bins(spark: SparkSession, d: str) -> DataFrame:
     k = cells(spark, d).select("elevation", R.severity_class("slope", edges=(15, 30, 45)).alias("sev"))
-    return Z.predictor_bins(k, "elevation", "sev").withColumns({x: F.round(x, 6) for x in ("predictor", "mean_severity", "pct_high")})
+    return Z.predictor_bins(k, "elevation", "sev").withColumns({x: F.round(x, 6) for x in ("predictor_lo", "predictor_hi", "mean_severity", "pct_high")})
+
+
+@query(_BINS + " SELECT * FROM bins")
+def predictor_bins(spark: SparkSession, d: str) -> DataFrame:
+    return _bins(spark, d)
+
+
+def _rho(a: str, b: str, rows: str) -> str:
+    """SQL of the rank correlation of two columns and its p: the finite series of Student's t."""
+    r = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+    return f""", r AS (SELECT {r(a)} AS ra, {r(b)} AS rb FROM {rows}), c AS (SELECT corr(ra, rb) AS rho, count(*) AS n, CAST(count(*) - 2 AS INT) AS f FROM r),
+t AS (SELECT *, atan(abs(rho) * sqrt(f / nullif(1 - rho * rho, 0)) / sqrt(f)) AS a FROM c),
+u AS (SELECT *, CASE WHEN f % 2 = 0 THEN sin(a) * list_sum(list_transform(range(0, f // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow(cos(a), 2 * j)))
+  ELSE 2 / pi() * (a + CASE WHEN f > 1 THEN sin(a) * list_sum(list_transform(range(0, (f - 1) // 2), lambda j: exp(lgamma(j + 1) - lgamma(j + 1.5)) * sqrt(pi()) / 2 * pow(cos(a), 2 * j + 1))) ELSE 0 END) END AS inside FROM t)
+SELECT CASE WHEN n > 2 THEN round(rho, 6) END AS rho, n, CASE WHEN n > 2 THEN round(greatest(1 - inside, 0), 6) END AS p FROM u"""
+
+
+@query(_BINS + _rho("predictor_lo", "pct_high", "bins"))
+def predictor_correlation(spark: SparkSession, d: str) -> DataFrame:
+    return Z.spearman(_bins(spark, d), "predictor_lo", "pct_high").withColumns({"rho": F.round("rho", 6), "p": F.round("p", 6)})
 
 
-@query(f"""WITH {CELLS}, g AS (SELECT zone, avg(elevation) AS a, avg(slope) AS b FROM cells GROUP BY zone), r AS (SELECT rank() OVER (ORDER BY round(a, 9)) + (count(*) OVER (PARTITION BY round(a, 9)) - 1) / 2.0 AS ra, rank() OVER (ORDER BY round(b, 9)) + (count(*) OVER (PARTITION BY round(b, 9)) - 1) / 2.0 AS rb FROM g)
-SELECT round(corr(ra, rb), 6) AS rho, count(*) AS n FROM r""")
+@query(f"WITH {CELLS}, g AS (SELECT round(avg(elevation), 9) AS a, round(avg(slope), 9) AS b FROM cells GROUP BY zone)" + _rho("a", "b", "g"))
 def zone_rank_correlation(spark: SparkSession, d: str) -> DataFrame:
     g = cells(spark, d).groupBy("zone").agg(F.round(F.avg("elevation"), 9).alias("a"), F.round(F.avg("slope"), 9).alias("b"))
-    return Z.spearman(g, "a", "b").withColumn("rho", F.round("rho", 6))
+    return Z.spearman(g, "a", "b").withColumns({"rho": F.round("rho", 6), "p": F.round("p", 6)})
 
 
 @query("""WITH t AS (SELECT count(*) AS total, count_if(regexp_matches(lower(o_orderpriority), 'missing|undeterm|not specified')) AS u FROM orders)

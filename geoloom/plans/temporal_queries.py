@@ -40,7 +40,7 @@ def threshold_days(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {FLOW}, s AS (SELECT site, {_WY.format('day')} AS wy, day, value FROM flow WHERE value IS NOT NULL),
 t AS (SELECT *, CAST(day - make_date(wy - 1, 10, 1) AS INT) AS since FROM s)
-SELECT site, wy, count(*) AS n, max(value) AS peak, arg_max(since, value * 1000 - since) AS peak_day, min(CASE WHEN value > 20 THEN since END) AS onset, max(CASE WHEN value > 20 THEN since END) AS "end"
+SELECT site, wy, count(*) AS n, max(value) AS peak, arg_max(since, value * 1000 - since) AS peak_day, min(CASE WHEN value > 20 THEN since END) AS onset, max(CASE WHEN value > 20 THEN since END) AS "end", count_if(value > 20) AS season_days
 FROM t GROUP BY 1, 2 HAVING count(*) >= 60""")
 def season_metrics(spark: SparkSession, d: str) -> DataFrame:
     return T.season_metrics(flow(spark, d), "site", "day", "value", above=20, least=60)
@@ -51,10 +51,10 @@ r AS (SELECT f.site, {_WY.format('day')} AS wy, day, value, lim, avg(value) OVER
   WINDOW w AS (PARTITION BY f.site, {_WY.format('day')} ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
 q AS (SELECT site, wy, day, value, lim, CASE WHEN k = 7 THEN round(a, 9) END AS a FROM r),
 o AS (SELECT site, wy, day, a, row_number() OVER (PARTITION BY site, wy ORDER BY a, day) AS k FROM q WHERE a IS NOT NULL)
-SELECT q.site, q.wy, count(*) AS n, round(min(q.a), 6) AS low, min(CASE WHEN o.k = 1 THEN o.day END) AS low_day, count_if(value < lim) AS days_below
+SELECT q.site, q.wy, count(*) AS n, round(min(q.a), 6) AS low, min(CASE WHEN o.k = 1 THEN o.day END) AS low_day, count_if(value < lim) AS days_below, round(avg(value), 6) AS mean
 FROM q LEFT JOIN o ON q.site = o.site AND q.wy = o.wy AND q.day = o.day GROUP BY 1, 2 HAVING count(*) >= 60""")
 def low_flow(spark: SparkSession, d: str) -> DataFrame:
-    return _round(T.low_flow(flow(spark, d), "site", "day", "value", least=60), "low")
+    return _round(T.low_flow(flow(spark, d), "site", "day", "value", least=60), "low", "mean")
 
 
 @query(f"""WITH {FLOW}, g AS (SELECT site FROM flow GROUP BY site HAVING (max(day) - min(day) + 1) / 365.25 >= 6.5 AND 1 - count(DISTINCT day) / (max(day) - min(day) + 1) <= 0.8)
@@ -85,12 +85,31 @@ def top_run_days(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH g AS (SELECT CAST(year(o_orderdate) AS INT) AS y, sum(o_totalprice) / 1e6 AS a FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
 r AS (SELECT coalesce(sum(a), 0) AS burned, max(y) - min(y) + 1 AS period, count_if(a > 0) AS active_years FROM g)
-SELECT round(burned, 6) AS burned, CAST(period AS INT) AS period, active_years, round(coalesce(period / nullif(burned / 5000, 0), 'Infinity'::DOUBLE), 6) AS rotation,
+SELECT round(burned, 6) AS burned, CAST(period AS INT) AS period, active_years, round(coalesce(period / nullif(burned / 5000, 0), 'Infinity'::DOUBLE), 6) AS rotation, round(100 * burned / 5000, 6) AS pct_burned, round(100 * burned / 5000 / period, 6) AS annual_pct,
   CASE WHEN period / (burned / 5000) / 20 >= 3 THEN 'far longer' WHEN period / (burned / 5000) / 20 >= 1.5 THEN 'longer' WHEN period / (burned / 5000) / 20 >= 0.67 THEN 'similar' ELSE 'shorter' END AS era FROM r""")
 def fire_rotation(spark: SparkSession, d: str) -> DataFrame:
     by = table(spark, d, "orders").where("o_orderstatus = 'F'").groupBy(F.year("o_orderdate").alias("y")).agg((F.sum("o_totalprice") / 1e6).alias("a"))
     out = T.rotation(by, "y", "a", 5000.0).withColumn("era", T.era_comparison(F.col("rotation"), F.lit(20.0)))
-    return _round(out, "burned", "rotation")
+    return _round(out, "burned", "rotation", "pct_burned", "annual_pct")
+
+
+@query("""WITH g AS (SELECT CAST(year(o_orderdate) AS INT) AS year, sum(o_totalprice) AS a FROM orders GROUP BY 1)
+SELECT CAST(y AS INT) AS year, round(coalesce(a, 0), 4) AS total FROM range(1990, 2005) t(y) LEFT JOIN g ON g.year = y""")
+def burned_by_year(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").withColumn("y", F.year("o_orderdate"))
+    return _round(T.by_year(o, "y", "o_totalprice", (1990, 2004)), "total", n=4)
+
+
+@query("SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-07-01' GROUP BY 1")
+def partial_date_slice(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate"))
+    return T.labelled(o, "day", "1996", "1997-06").groupBy("day").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS balance FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey LIMIT 20")
+def largest_by_size(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    return c.orderBy(F.desc(F.abs("balance")), "id").limit(20)
 
 
 @query("""SELECT CAST(month(o_orderdate) AS INT) AS month, CAST(day(o_orderdate) AS INT) AS day_of_month, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd FROM orders GROUP BY 1, 2""")

@@ -78,3 +78,19 @@ def _flow_months(spark, d) -> DataFrame:
 def recovery_fit(spark: SparkSession, d: str) -> DataFrame:
     k = cube(spark, d).join(cells(spark, d).select("cell", R.severity_class("slope", edges=(15, 30, 45)).alias("class")), "cell")
     return T.recovery_fit(k.groupBy("class", "year").agg(F.avg("nir").alias("value")), ["class"], "year", "value")
+
+
+_SLOPES = "SELECT n_regionkey AS region, regr_slope({v}, {t}) AS s FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"
+
+
+@query("WITH a AS (" + _SLOPES.format(v="o_totalprice", t="CAST(CAST(o_orderdate AS DATE) - DATE '1990-01-01' AS DOUBLE)") + "), b AS (" + _SLOPES.format(v="CAST(c_acctbal AS DOUBLE)", t="o_totalprice") + """)
+SELECT region, round(a.s, 6) AS price, round(b.s, 6) AS balance FROM a FULL JOIN b USING (region)""")
+def hazard_table(spark: SparkSession, d: str) -> DataFrame:
+    """One row a region from several trend tables."""
+    from geoloom.operators import composite as C
+
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    o = t("orders").join(t("customer"), F.expr("o_custkey = c_custkey")).join(t("nation"), F.expr("c_nationkey = n_nationkey"))
+    day = F.datediff("o_orderdate", F.lit("1990-01-01")).cast("double")
+    slopes = {n: o.groupBy(F.col("n_regionkey").alias("region")).agg(F.regr_slope(v, x).alias("slope")) for n, v, x in (("price", F.col("o_totalprice"), day), ("balance", F.col("c_acctbal").cast("double"), F.col("o_totalprice")))}
+    return C.hazards("region", slopes).withColumns({c: F.round(c, 6) for c in slopes})

@@ -82,8 +82,8 @@ def severity_raster(df: DataFrame, box: Box, column: str = "severity") -> DataFr
 
 
 def canopy(df: DataFrame) -> DataFrame:
-    """Stored canopy layers in units; negative codes are NULL."""
-    return df.withColumns({c: F.when(F.col(c) >= 0, F.col(c) / s) for c, s in CANOPY_SCALE.items() if c in df.columns})
+    """Stored canopy layers in units; codes of 0 and less are no canopy, NULL."""
+    return df.withColumns({c: F.when(F.col(c) > 0, F.col(c) / s) for c, s in CANOPY_SCALE.items() if c in df.columns})
 
 
 def elevation_tiles(df: DataFrame) -> DataFrame:

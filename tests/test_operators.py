@@ -132,7 +132,10 @@ def test_autocorrelation_correction_cuts_false_positives():
 def test_special_functions():
     assert N.digamma(1.0) == pytest.approx(-0.5772156649015329, abs=1e-10)
     assert N.gamma_cdf(2.0, 1.0) == pytest.approx(1 - math.exp(-2))
-    assert N.gamma_cdf(9.0, 2.5) == pytest.approx(1 - N.gamma_cdf(0, 2.5) - (1 - N.gamma_cdf(9.0, 2.5)))
+    # Whole shapes have a closed form: 1 - exp(-x) times the sum of x**i / i!.
+    x = np.array([0.0, 0.3, 2.0, 4.0, 9.0, 30.0])
+    for k in (1, 3, 6):
+        assert N.gamma_cdf(x, float(k)) == pytest.approx([1 - math.exp(-v) * sum(v**i / math.factorial(i) for i in range(k)) for v in x], abs=1e-13)
     x = np.random.default_rng(2).gamma(2.0, 3.0, 20_000)
     k, s = N.gamma_fit(x)
     assert k == pytest.approx(2, abs=0.1) and s == pytest.approx(3, abs=0.2)
@@ -151,8 +154,90 @@ def test_drought_indices(spark):
     mean, sd = z.agg(F.avg("z"), F.stddev("z")).first()
     assert abs(mean) < 0.25 and 0.75 < sd < 1.3
     assert z.where("year(m) = 2016 AND month(m) > 3").agg(F.avg("z")).first()[0] < -0.8
-    late = N.spei(d, ["s"], "m", "p", "e", 3).where("year(m) > 2010").agg(F.avg("z")).first()[0]
-    assert late < z.where("year(m) > 2010").agg(F.avg("z")).first()[0] + 0.5
+    dry = N.spei(d, ["s"], "m", "p", "e", 3).where("year(m) > 2010").agg(F.avg("z")).first()[0]
+    assert dry < z.where("year(m) > 2010").agg(F.avg("z")).first()[0] - 0.05  # the demand grows
+
+
+def test_drought_probabilities_of_known_distributions():
+    rng = np.random.default_rng(5)
+    n = 40_000
+    month, base = np.arange(n) % 12 + 1, np.ones(n, bool)
+    p = rng.random(n)
+    rain = np.where(p < 0.2, 0.0, -30 * np.log((1 - p) / 0.8))  # a fifth of zeros, else exponential
+    got = N.spi_probability(rain, base, month)
+    assert np.abs(got[p >= 0.2] - p[p >= 0.2]).max() < 0.03 and np.abs(got[p < 0.2] - 0.1).max() < 0.01
+    balance = 5 + 10 * (p / (1 - p)) ** (1 / 4)  # log-logistic of shape 4
+    assert np.abs(N.spei_probability(balance, base, month) - p).max() < 0.03
+    few = N.spi_probability(rain[:100], base[:100], month[:100])
+    assert np.isnan(few).all() and np.isnan(N.spei_probability(np.ones(300), base[:300], month[:300])).all()
+
+
+def test_recovery_by_class_is_the_ratio_of_means(spark):
+    # Two cells: 0.1 to 0.2 and 0.9 to 0.9; the ratio of the means is 1.1, the mean of the ratios 1.5.
+    rows = [(1, 0, 2001, 0.2, 0.1), (2, 0, 2001, 0.9, 0.9), (2, 0, 2002, 0.8, 0.9), (3, 1, 2001, 0.5, 0.5), (4, 2, 2001, 0.5, 0.01), (5, 2, 2001, 0.5, None)]
+    d = spark.createDataFrame(rows, "cell int, class int, year int, v double, b double")
+    got = {(r["class"], r.year): (r.n, r.ratio) for r in Z.recovery_by_class(d, "cell", "class", "year", "v", "b", least=2).collect()}
+    assert got == {(0, 2001): (2, pytest.approx(1.1)), (0, 2002): (2, pytest.approx(1.6)), (2, 2001): (2, None)}
+
+
+def test_a_missing_year_ends_no_run(spark):
+    rows = [("a", y, float(y % 2)) for y in range(1991, 2011)] + [("a", y, None if y == 2013 else 9.0) for y in range(2011, 2017)]
+    d = spark.createDataFrame(rows, "s string, y int, v double")
+    assert T.emergence(d, ["s"], "y", "v", (1991, 2010), 2.0, 5).first().emerged == 2012
+
+
+def test_flat_within_noise_and_a_reference(spark):
+    long = spark.createDataFrame([(1, "a", 0.1 + 0.2), (2, "a", 0.3), (1, "b", 1.0), (2, "b", 3.0)], "id int, indicator string, value double")
+    got = {(r.id, r.indicator): r.score for r in C.normalized(long, "id", "zscore").collect()}
+    assert got[1, "a"] == got[2, "a"] == 0 and got[2, "b"] == 1
+    ref = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("b", 0.0), ("b", 10.0)], "indicator string, value double")
+    assert {(r.id, r.indicator): round(r.score, 9) for r in C.normalized(long, "id", "minmax", reference=ref).collect()} == {(1, "a"): 0.3, (2, "a"): 0.3, (1, "b"): 0.1, (2, "b"): 0.3}
+
+
+def test_distance_in_kilometres_keeps_lonely_assets(spark):
+    cells = spark.createDataFrame([(10.0, 60.0, 1.0), (10.01, 60.0, 5.0)], "x double, y double, h double")
+    a = spark.createDataFrame([(1, 10.0, 60.0), (2, 12.0, 60.0)], "id int, px double, py double")
+    got = {r.id: r.exposure for r in S.distance_weighted(a, "id", "px", "py", cells, "h", (2.0,), degrees=True).collect()}
+    w = math.exp(-0.01 * 111 * math.cos(math.radians(60)) / 2)
+    assert got == {1: pytest.approx((1 + 5 * w) / (1 + w)), 2: None}
+
+
+def test_whole_table_ranks_and_q_values(spark):
+    from geoloom.functions import sizes
+
+    rng = np.random.default_rng(6)
+    v = rng.integers(0, 300, 2000) / 1000
+    d = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)] + [(2000, None)], "id int, p double").repartition(5)
+    got = {r.id: r.rank for r in sizes.ranked(d, F.asc_nulls_last("p"), "p").collect()}
+    want = N.ranks(v)
+    assert all(got[i] == want[i] for i in range(2000)) and got[2000] == 2001
+    q = {r.id: r.q for r in N.fdr(d).collect()}
+    order = np.argsort(v, kind="stable")
+    raw = np.minimum.accumulate((v[order] * 2000 / np.arange(1, 2001))[::-1])[::-1]
+    assert q[2000] is None and all(q[int(i)] == pytest.approx(min(x, 1)) for i, x in zip(order, raw))
+    pct = {r.id: r.percentile for r in T.percentile_of_score(d.select("p"), d, "p").collect()}
+    assert all(pct[i] == pytest.approx(100 * (v < v[i]).sum() / 2001) for i in range(0, 2000, 50))
+
+
+def test_polygons_join_alike_by_broadcast_and_by_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    shapes = S.polygons(spark, {f"p{i}": [(x, y), (x + 3, y), (x + 1, y + 2)] for i, (x, y) in enumerate(rng.random((30, 2)) * 20)})
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.random((300, 2)) * 22)], "id int, px double, py double")
+    one = {(r.id, r.name) for r in S.points_in_polygons(points, "px", "py", shapes, "left").collect()}
+    monkeypatch.setattr(S, "is_small", lambda df: False)
+    assert {(r.id, r.name) for r in S.points_in_polygons(points, "px", "py", shapes, "left").collect()} == one and len(one) > 300
+
+
+def test_staged_tables_are_deleted(spark):
+    import os
+
+    from geoloom.functions import lineage
+
+    folder = lineage.shared_dir(spark).removeprefix("file://") + "/geoloom"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    edges = spark.createDataFrame([(i, i + 1 if i < 40 else None) for i in range(41)], "cell int, next int")
+    assert H.accumulate(edges).where("cell = 40").first().accumulation == 41
+    assert len(set(os.listdir(folder)) - before) == 1  # what the result reads
 
 
 def test_recovery_curve():

@@ -74,8 +74,8 @@ def test_small_sources(spark, tmp_path):
     assert files.scene(cat, "2020-07-07", (0.2, 0.2, 0.4, 0.4)).first().id == "b"
     assert files.scene(cat, "2021-07-07", (0.2, 0.2, 0.4, 0.4)).count() == 0
     assert files.blocks(2003, 2011) == [(2000, 2004), (2005, 2009), (2010, 2014)]
-    d = spark.createDataFrame([(90, 25, 12), (-9999, 25, 12)], "cbh int, ch int, cbd int")
-    assert [r.cbh for r in files.canopy(d).collect()] == [9.0, None]
+    d = spark.createDataFrame([(90, 25, 12), (-9999, 25, 12), (0, 25, 12)], "cbh int, ch int, cbd int")
+    assert [r.cbh for r in files.canopy(d).collect()] == [9.0, None, None]
     w = spark.createDataFrame([(date(2020, 1, 1), 0.5, 0.5, 280.15)], "day date, lon double, lat double, air_temperature_max double")
     w.write.parquet(str(tmp_path / "w"))
     assert files.weather(spark, str(tmp_path / "w"), ["tmmx"], (0, 0, 1, 1), "2020-01-01", "2020-12-31").first()[3] == pytest.approx(7.0)
