@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom import governance as G
+from geoloom.functions.sizes import small
 from geoloom.sources import parse
 
 from .registry import query
@@ -19,7 +20,7 @@ _TIERS = "(VALUES ('AFRICA', 2), ('AMERICA', 0), ('ASIA', 1), ('EUROPE', 0), ('M
 @query(f"SELECT n_nationkey AS id, n_name AS nation, tier_rank FROM nation JOIN region ON n_regionkey = r_regionkey JOIN {_TIERS} ON r_name = name WHERE tier_rank <= 1")
 def tier_filter(spark: SparkSession, d: str) -> DataFrame:
     policy = spark.sql(f"SELECT * FROM {_TIERS}")
-    n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.expr("n_regionkey = r_regionkey")).join(F.broadcast(policy), F.expr("r_name = name"))
+    n = table(spark, d, "nation").join(small(table(spark, d, "region")), F.expr("n_regionkey = r_regionkey")).join(F.broadcast(policy), F.expr("r_name = name"))
     return G.visible(n, G.Access.COMMUNITY).select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("nation"), "tier_rank")
 
 
@@ -42,11 +43,14 @@ def care_report(spark: SparkSession, d: str) -> DataFrame:
     return G.care_assessment(spark, {q[0]: True, q[2]: True, q[3]: True, q[5]: False, q[7]: True})
 
 
-@query("""SELECT CAST(count(DISTINCT source) AS BIGINT) AS distinct_values, count_if(regexp_matches(lower(source), 'src1')) AS hits FROM documents""")
+_SCAN = " UNION ALL ".join(f"SELECT DISTINCT '{c}=' || {c} AS found FROM documents WHERE regexp_matches(lower({c}), 'src1|lang') AND (SELECT count(DISTINCT {c}) FROM documents) <= 200" for c in ("text", "lang", "source"))
+
+
+@query(f"SELECT 'lang' AS found UNION ALL {_SCAN}")
 def sensitive_scan(spark: SparkSession, d: str) -> DataFrame:
-    """How many values of a text column there are and how many rows carry a hint."""
-    docs = table(spark, d, "documents")
-    return docs.agg(F.count_distinct("source").alias("distinct_values"), F.count_if(F.lower("source").rlike("src1")).alias("hits"))
+    """Names and values of all columns with one of two hints."""
+    found = G.suspicious(table(spark, d, "documents"), ("src1", "lang"))
+    return spark.createDataFrame([(x,) for x in found], "found string")
 
 
 @query("SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -71,7 +75,10 @@ def component_join(spark: SparkSession, d: str) -> DataFrame:
         LEFT SEMI JOIN (SELECT s_suppkey FROM geoloom_supplier WHERE s_acctbal > 0) s ON s_suppkey = l_suppkey WHERE p_size = 1 GROUP BY l_suppkey""")
 
 
-@query("""SELECT c_mktsegment AS segment, round(avg(CASE WHEN r_name = 'ASIA' THEN c_acctbal END), 4) AS "ASIA", round(avg(CASE WHEN r_name = 'EUROPE' THEN c_acctbal END), 4) AS "EUROPE" FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') GROUP BY 1""")
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+@query("SELECT c_mktsegment AS segment, " + ", ".join(f"""round(avg(CASE WHEN r_name = '{r}' THEN c_acctbal END), 4) AS "{r}\"""" for r in REGIONS) + " FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def pivoted(spark: SparkSession, d: str) -> DataFrame:
-    j = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.expr("c_nationkey = n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.expr("n_regionkey = r_regionkey"))
-    return j.groupBy(F.col("c_mktsegment").alias("segment")).pivot("r_name", ["ASIA", "EUROPE"]).agg(F.round(F.avg("c_acctbal"), 4))
+    j = table(spark, d, "customer").join(small(table(spark, d, "nation")), F.expr("c_nationkey = n_nationkey")).join(small(table(spark, d, "region")), F.expr("n_regionkey = r_regionkey"))
+    return j.groupBy(F.col("c_mktsegment").alias("segment")).pivot("r_name", REGIONS).agg(F.round(F.avg("c_acctbal"), 4))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.functions.sizes import small
+
 WIDTH = 40
 
 
@@ -35,7 +37,7 @@ def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(region, month, value): the mean order total."""
-    where = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.expr("c_nationkey = n_nationkey"))
+    where = table(spark, sf_dir, "customer").join(small(table(spark, sf_dir, "nation")), F.expr("c_nationkey = n_nationkey"))
     rows = table(spark, sf_dir, "orders").join(where.select("c_custkey", "n_regionkey"), F.expr("o_custkey = c_custkey"))
     return rows.groupBy(F.col("n_regionkey").alias("region"), F.to_date(F.trunc("o_orderdate", "MM")).alias("month")).agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
 

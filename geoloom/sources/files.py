@@ -100,16 +100,51 @@ def detections(spark: SparkSession, paths: Sequence[str], start: str, end: str,
     return (out.where(within(box)) if box else out).dropDuplicates()
 
 
-def features(spark: SparkSession, path: str, properties: Mapping[str, str]) -> DataFrame:
+def joined_rings(rings) -> Column:
+    """Rings as one: after each, back to its start and to the first ring's. The
+    ways between are gone both ways, so that they cancel in an even-odd test and
+    holes and further parts count as they should."""
+    first = rings[0][0]
+    chain = F.aggregate(rings, F.slice(rings[0], 1, 0), lambda a, r: F.concat(a, r, F.array(r[0], first)))
+    return F.when(F.size(rings) > 1, chain).otherwise(rings[0])
+
+
+def features(spark: SparkSession, path: str, properties: Mapping[str, str], where: str | None = None, box: Box | None = None) -> DataFrame:
     """GeoJSON features or Esri JSON ones: properties by name and type, and the
-    outer ring as array<struct<x, y>>."""
+    geometry as array<struct<x, y>> `ring`: the rings of a polygon with holes or
+    of several polygons as joined_rings, the points of a line, or one point.
+    `where` is a condition on the properties; `box` keeps what meets it."""
     props = ", ".join(f"`{k}`: {t}" for k, t in properties.items())
-    ring = "array<array<array<double>>>"
-    schema = f"features array<struct<properties: struct<{props}>, attributes: struct<{props}>, geometry: struct<type: string, coordinates: {ring}, rings: {ring}, x: double, y: double>>>"
+    schema = f"features array<struct<properties: struct<{props}>, attributes: struct<{props}>, geometry: struct<type: string, coordinates: string, rings: string, paths: string, x: double, y: double>>>"
     f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    outer = F.coalesce(F.col("f.geometry.rings"), F.col("f.geometry.coordinates"))[0]
     values = [F.coalesce(F.col("f.properties")[k], F.col("f.attributes")[k]).alias(k) for k in properties]
-    return f.select(*values, F.transform(outer, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("ring"))
+    g = F.col("f.geometry")
+    depth = lambda text, n: F.from_json(text, "array<" * n + "double" + ">" * n)
+    kind = g["type"]
+    rings = F.coalesce(depth(g["rings"], 3), F.when(kind == "Polygon", depth(g["coordinates"], 3)).when(kind == "MultiPolygon", F.flatten(depth(g["coordinates"], 4))))
+    line = F.coalesce(F.flatten(depth(g["paths"], 3)), F.when(kind == "LineString", depth(g["coordinates"], 2)).when(kind == "MultiLineString", F.flatten(depth(g["coordinates"], 3))))
+    point = F.when(g["x"].isNotNull(), F.array(F.array(g["x"], g["y"]))).when(kind == "Point", F.array(depth(g["coordinates"], 1)))
+    chain = F.coalesce(F.when(rings.isNotNull(), joined_rings(rings)), line, point)
+    out = f.select(*values, F.transform(chain, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("ring"))
+    if where:
+        out = out.where(where)
+    if box:
+        d = boxed(out).where((F.col("minx") <= box[2]) & (F.col("maxx") >= box[0]) & (F.col("miny") <= box[3]) & (F.col("maxy") >= box[1]))
+        out = d.select(out.columns)
+    return out
+
+
+#: Digits of a watershed's code by level.
+LEVELS = {"region": 2, "subregion": 4, "basin": 6, "subbasin": 8, "watershed": 10, "subwatershed": 12}
+
+
+def watersheds(spark: SparkSession, path: str, level: int | str, box: Box | None = None) -> DataFrame:
+    """(code, name, ring) of the watersheds of a level, by name or digits, whose
+    codes are in the property huc<digits>."""
+    digits = LEVELS.get(level, level)
+    if digits not in LEVELS.values():
+        raise ValueError(f"levels are {LEVELS}")
+    return features(spark, path, {f"huc{digits}": "string", "name": "string"}, box=box).withColumnRenamed(f"huc{digits}", "code")
 
 
 def boxed(df: DataFrame) -> DataFrame:

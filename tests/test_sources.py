@@ -165,3 +165,28 @@ def test_notes(spark):
     out = [r[0] for r in d.select(G.two_framings("v", "c")).collect()]
     assert "0.70" in out[0] and "0.85" in out[0] and out[1] is None
     assert "trademark" in G.ocap_note()
+
+
+def test_features_with_holes_parts_lines_and_points(spark, tmp_path):
+    from geoloom.functions.columns import in_polygon
+
+    square = lambda a, b: [[a, a], [b, a], [b, b], [a, b], [a, a]]
+    shapes = [
+        ("hole", {"type": "Polygon", "coordinates": [square(0, 10), square(4, 6)]}),
+        ("parts", {"type": "MultiPolygon", "coordinates": [[square(0, 2)], [square(5, 9), square(6, 8)]]}),
+        ("line", {"type": "LineString", "coordinates": [[1, 1], [2, 3]]}),
+        ("point", {"type": "Point", "coordinates": [7, 8]}),
+        ("none", None),
+    ]
+    path = str(tmp_path / "f.json")
+    with open(path, "w") as f:
+        json.dump({"features": [{"properties": {"name": n, "huc8": n}, "geometry": g} for n, g in shapes]}, f)
+    d = files.features(spark, path, {"name": "string"})
+    rings = {r.name: r.ring for r in d.collect()}
+    assert [tuple(p) for p in rings["line"]] == [(1, 1), (2, 3)] and [tuple(p) for p in rings["point"]] == [(7, 8)] and rings["none"] is None
+    at = lambda x, y: {r.name for r in d.where("name IN ('hole', 'parts')").where(in_polygon(F.lit(x), F.lit(y), F.col("ring"))).collect()}
+    assert at(1.0, 1.5) == {"hole", "parts"} and at(5.1, 5.3) == {"parts"} and at(7.1, 7.2) == {"hole"} and at(8.5, 7.0) == {"hole", "parts"} and at(3.0, 3.1) == {"hole"} and at(11.0, 1.0) == set()
+    assert [r.name for r in files.features(spark, path, {"name": "string"}, "name <> 'hole'", (6.5, 7.5, 7.5, 8.5)).orderBy("name").collect()] == ["parts", "point"]
+    assert {r.code for r in files.watersheds(spark, path, "subbasin").collect()} == {n for n, _ in shapes}
+    with pytest.raises(ValueError):
+        files.watersheds(spark, path, 7)
