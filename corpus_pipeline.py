@@ -37,7 +37,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_ids, ...) of every document left."""
+    """(doc_id, ids, n_tokens, round_trip) of every document left."""
     return sentencepiece.encoded(docs)
 
 
