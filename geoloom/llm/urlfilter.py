@@ -7,10 +7,12 @@ three labels of its host how many URLs of the table have them (logarithm) and
 the smoothed share of bad ones among the labelled URLs that have them.
 
 Labels come as a table (url, bad). `seeded` makes one of the pages themselves:
-a URL is bad if its host has a word of a block list. The trees are fitted on
+a URL is bad if its host has a word of a block list; it stands in where there
+are no labels of URLs, and a filter trained on it learns that list again. The trees are fitted on
 the driver to at most `labelled` rows, drawn by a hash of the URL (a documented
-bound); the counts of suffixes cover every URL, their shares every labelled one. In fitting, a row's own label
-is left out of its suffixes' shares. Trees of depth 3 split on at most 64
+bound); the counts of suffixes cover every URL, their shares every labelled
+one. In fitting, a row's shares are those of the other folds of the labelled
+URLs: leaving out its own label alone would tell it. Trees of depth 3 split on at most 64
 quantiles of a feature, by the gain of Newton's step on logistic loss.
 
 Result: (page_id, score, blocked), a row for each row of pages.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, utf8
 
-LABELLED, THRESHOLD = 20_000, 0.5
+LABELLED, THRESHOLD, FOLDS = 20_000, 0.5, 8
 SEEDS = ("ads", "adult", "bet", "bets", "casino", "pills", "poker", "porn", "spam", "track", "viagra", "warez", "xxx")
 NAMES = ("length", "host_length", "labels", "hyphens", "host_digits", "depth", "path_length", "digits", "entropy", "host_entropy", "params", "query_length", "fragment", "secure", "count2", "count3", "share2", "share3")
 LEXICAL = len(NAMES) - 4
@@ -195,16 +197,25 @@ def _stats(urls: DataFrame, labelled: DataFrame, n: int) -> DataFrame:
     return every.join(known, key, "left").na.fill(0)
 
 
-def features(rows: pa.Table | pa.RecordBatch, prior: float, own: np.ndarray | None = None) -> np.ndarray:
-    """The features of NAMES; `own` labels are left out of the shares."""
+def _fold(url) -> F.Column:
+    return F.pmod(F.xxhash64(url, F.lit("fold")), F.lit(FOLDS))
+
+
+def _in_fold(labelled: DataFrame, n: int) -> DataFrame:
+    """(suffix, fold, own_bad, own_known) of the last n labels."""
+    return labelled.groupBy(f"suffix{n}", _fold(F.col("url")).alias("fold")).agg(F.sum("bad").alias(f"own_bad{n}"), F.count("*").alias(f"own_known{n}"))
+
+
+def features(rows: pa.Table | pa.RecordBatch, prior: float, fitting: bool = False) -> np.ndarray:
+    """The features of NAMES; in fitting, the shares are those of the other folds."""
     out = [lexical(rows.column("url") if isinstance(rows, pa.RecordBatch) else rows.column("url").combine_chunks())]
     number = lambda c: np.nan_to_num(rows.column(c).to_numpy(zero_copy_only=False).astype(float))
     counts = [np.log1p(number(f"count{n}")) for n in (2, 3)]
     shares = []
     for n in (2, 3):
         bad, known = number(f"bad{n}"), number(f"known{n}")
-        if own is not None:
-            bad, known = bad - own, known - 1
+        if fitting:
+            bad, known = bad - number(f"own_bad{n}"), known - number(f"own_known{n}")
         shares.append((bad + 2 * prior) / (known + 2))
     return np.concatenate([*out, np.stack([*counts, *shares], axis=1)], axis=1)
 
@@ -233,13 +244,13 @@ def filtered(pages: DataFrame, labels: DataFrame | None = None, labelled: int =
     urls = _suffixes(pages)
     known = _suffixes(known)
     stats = [_stats(urls.where("url <> ''"), known, n) for n in (2, 3)]
-    train = sample
+    train = sample.withColumn("fold", _fold(F.col("url")))
     for n, s in zip((2, 3), stats):
-        train = train.join(s, f"suffix{n}", "left")
+        train = train.join(s, f"suffix{n}", "left").join(_in_fold(known, n), [f"suffix{n}", "fold"], "left")
     train = train.drop("suffix2", "suffix3").orderBy("url", "bad").toArrow()
     bad = train.column("bad").to_numpy().astype(float)
     prior = float(bad.mean()) if len(bad) else 0.0
-    model = Boosted().fit(features(train, prior, bad) if len(bad) else np.zeros((0, len(NAMES))), bad)
+    model = Boosted().fit(features(train, prior, True) if len(bad) else np.zeros((0, len(NAMES))), bad)
     shared = spark.sparkContext.broadcast(model)
     for n, s in zip((2, 3), stats):
         urls = urls.join(s, f"suffix{n}", "left")
