@@ -3,6 +3,7 @@ token hashing and intermediate tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
@@ -26,11 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_left: dict[str, SparkSession] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a new
-    local one where it is unset (single-machine sessions such as tests)."""
+    """The folder every executor can reach: spark.checkpoint.dir. Where it is
+    unset, a new one of this machine, if all executors are on it (tests); on a
+    cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="geoloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -58,15 +65,31 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    if not _left:
+        atexit.register(_sweep)
+    _left[path] = spark
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing will read again."""
+    """Delete staged tables that nothing will read again. What a result still
+    reads goes when the session's process ends."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if _left.pop(df._staged_path, None):
+            _delete(df.sparkSession, df._staged_path)
+
+
+def _sweep() -> None:
+    for path, spark in _left.items():
+        try:
+            _delete(spark, path)
+        except Exception:  # the session ended before
+            return
 
 
 try:

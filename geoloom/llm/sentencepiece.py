@@ -6,8 +6,8 @@ For each batch of texts:
    one, white space as U+2581; it's cut between characters that stand side by
    side in no piece, where no merge can happen. What is left are units, mostly
    words, of which a batch has few distinct ones;
-2. the distinct units not met before are concatenated and a suffix array of
-   them is built (sorted by as many characters as the longest piece has);
+2. the batch's distinct units that weren't met before stand for its text: they
+   are concatenated and a suffix array of them is built (sorted by as many characters as the longest piece has);
 3. every piece is binary-searched in the suffix array: its range is its
    occurrences. A range that leaves its unit is cut by the units' separators;
 4. occurrences are edges; sorted by end position they are relaxed from left to

@@ -207,6 +207,19 @@ def test_shards_cut_what_one_shard_cuts(spark):
     assert {r.doc_id for r in decontaminate.contaminated_spans(d, b, shard_tokens=10).collect()} == {1, 2}
 
 
+def test_automaton_is_flat_and_finds_longest_matches():
+    rng = np.random.default_rng(4)
+    items = [rng.integers(0, 6, rng.integers(5, 30)).tolist() for _ in range(40)]
+    a = decontaminate.Automaton([list(x) for x in items], 1.0, 1)
+    grams = {tuple(x[i:j]) for x in items for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
+    stream = rng.integers(0, 7, 300).astype(np.uint64)
+    got = dict((e, s) for s, e in a.removed(stream, 4))
+    for e in range(1, 301):
+        longest = max((n for n in range(0, min(e, 30) + 1) if tuple(stream[e - n : e].tolist()) in grams or n == 0))
+        assert (longest >= 4) == (e in got and e - got[e] >= 4) and (longest < 4 or got[e] == e - longest)
+    assert a.token.nbytes + a.to.nbytes + a.link.nbytes * 5 < 110 * sum(map(len, items))
+
+
 def test_contamination_edge_cases(spark):
     docs, bench = frame(spark), spark.createDataFrame([(1, prose(3, 80), 0), (None, None, 1), (2, "", 2)], "item_id bigint, text string, doc_id bigint")
     assert {r.doc_id for r in decontaminate.contaminated_spans(docs, bench).collect()} == {9}

@@ -168,6 +168,20 @@ def test_url_filter_on_urls_not_seen(spark):
     assert got[1] > 0.9 and got[0] < 0.02
 
 
+def test_url_filter_learns_lexical_labels_on_hosts_not_seen(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(3000):
+        bad = int(rng.random() < 0.3)
+        digits = "".join(map(str, rng.integers(0, 10, 14 if bad else 3)))
+        query = "?" + "&".join(f"k{j}=v" for j in range(6)) if bad and rng.random() < 0.8 else ""
+        rows.append((i, f"http://h{i % 100}.example.com/{'x/' * int(rng.integers(1, 4))}{digits}{query}", bad if rng.random() < 0.95 else 1 - bad, bad))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, bad int, truth int")
+    out = urlfilter.filtered(df.drop("bad", "truth"), df.where("page_id % 100 < 70").select("url", "bad")).join(df, "page_id").where("page_id % 100 >= 70")
+    good = out.agg(F.avg((F.col("blocked").cast("int") == F.col("truth")).cast("int"))).first()[0]
+    assert good > 0.97
+
+
 def test_url_edge_cases(spark):
     urls = ["http://casino-win.example.com/a", None, "", "casino-win.example.com", "http://", "x" * 100_000, "http://a.example.org/é?b=1&c=2#d", "http://a.example.org/é?b=1&c=2#d"]
     pages = spark.createDataFrame([(i if i != 3 else None, u, 1, 2.0) for i, u in enumerate(urls)], "page_id bigint, url string, bad int, count2 double")
