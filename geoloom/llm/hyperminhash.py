@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mix, slices, spans_hash, staged, tokens, utf8
+from .common import FOLD_BREAK_SQL, discard, mix, slices, spans_hash, staged, tokens, utf8
 
 BUCKETS, SHIFT, LOW, MANTISSA, ROWS = 256, 8, 44, 10, 4
 EMPTY = np.uint16(65535)
@@ -300,3 +300,19 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHING
     docs = _single(docs)
     gone = _near(docs, threshold, size).where("NOT kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+#: Every pair that shares a shingle, by its exact Jaccard, and the components.
+SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '{FOLD_BREAK_SQL}'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p + 1 : p + {SHINGLE}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {SHINGLE} + 1, 1))) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c >= {THRESHOLD} * (na.n + nb.n - c)),
+linked AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a AS doc_id, a AS top FROM linked UNION SELECT linked.b, reach.top FROM reach JOIN linked ON linked.a = reach.doc_id WHERE reach.top < linked.b)
+SELECT doc_id, min(top) AS group_id, min(top) = doc_id AS kept FROM reach GROUP BY doc_id
+"""

@@ -64,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_near_dedup": hyperminhash.SQL,
     "op5_substring_dedup": substring.SQL,
     "op7_decontamination": decontaminate.SQL,
     "op10_license_scan": license.SQL,
