@@ -88,6 +88,7 @@ class Model:
             self.by_size[size] = (np.array(own), codes)
         self.split = self._splitter()
         self.compatible: dict[int, bool] = {}
+        self.pairs, self.pairs_good = np.zeros(0, np.int64), np.zeros(0, bool)
         self.forget()
 
     def forget(self) -> None:
@@ -107,6 +108,29 @@ class Model:
 
     # units -> ids
 
+    def _pairs(self, keys: np.ndarray) -> np.ndarray:
+        """`_pair` of distinct keys (left << 32 | right): those met in earlier
+        batches by one search, the others one by one."""
+        at = np.searchsorted(self.pairs, keys)
+        good = np.zeros(len(keys), bool)
+        met = at < len(self.pairs)
+        met[met] = self.pairs[at[met]] == keys[met]
+        good[met] = self.pairs_good[at[met]]
+        new = np.flatnonzero(~met)
+        good[new] = [self._pair(k >> 32, k & 0xFFFFFFFF) for k in keys[new].tolist()]
+        return good
+
+    def _settle(self) -> None:
+        """Put the pairs met in this batch among those to be searched."""
+        new = {k: v for k, v in self.compatible.items() if k >= 0}
+        if len(self.pairs) + len(new) > KEEP_PAIRS:
+            self.pairs, self.pairs_good = np.zeros(0, np.int64), np.zeros(0, bool)
+        keys = np.append(self.pairs, np.fromiter(new.keys(), np.int64, len(new)))
+        good = np.append(self.pairs_good, np.fromiter(new.values(), bool, len(new)))
+        by = np.argsort(keys)
+        self.pairs, self.pairs_good = keys[by], good[by]
+        self.compatible = {k: v for k, v in self.compatible.items() if k < 0}
+
     def _pair(self, left: int, right: int) -> bool:
         """Whether BPE leaves the two pieces, side by side, as they are."""
         key = left << 32 | right
@@ -211,7 +235,7 @@ class Model:
         score = np.where(piece >= 0, self.scores[piece], self.scores.min() - 10)
         unit_base = np.repeat(base, size)[start]
         depth = start + length - unit_base
-        order = np.argsort(depth, kind="stable")
+        order = _by_depth(depth)
         best, back, last = np.full(n, -np.inf), np.zeros(n, np.int64), np.full(n, -1)
         at, many = runs(depth[order])
         for a, m in zip(at.tolist(), many.tolist()):
@@ -227,7 +251,7 @@ class Model:
         """The one compatible last piece of every prefix, by end position."""
         unit_base = np.repeat(base, size)[start]
         depth = start + length - unit_base
-        order = np.argsort(depth, kind="stable")
+        order = _by_depth(depth)
         back, last, done = np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, bool)
         at, many = runs(depth[order])
         for a, m in zip(at.tolist(), many.tolist()):
@@ -240,7 +264,7 @@ class Model:
             if len(ask):
                 key = before[ask].astype(np.int64) << 32 | own[ask]
                 kinds, inverse = np.unique(key, return_inverse=True)
-                good[ask] = np.array([self._pair(k >> 32, k & 0xFFFFFFFF) for k in kinds.tolist()])[inverse]
+                good[ask] = self._pairs(kinds)[inverse]
             good &= ~inner | done[np.maximum(s - 1, 0)]
             alone = good & ~inner
             if alone.any():  # a first piece is right if BPE of its own text gives it
@@ -270,11 +294,10 @@ class Model:
             units += found
         if len(self.known) > KEEP:
             self.forget()
-        if len(self.compatible) > KEEP_PAIRS:
-            self.compatible = {}
         fresh = list(set(units) - self.known.keys())
         if fresh:
             self.learn(fresh)
+            self._settle()
         if not units:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         which = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
@@ -297,6 +320,11 @@ class Model:
         return data.tobytes(), each
 
 
+def _by_depth(depth: np.ndarray) -> np.ndarray:
+    """A stable order; small numbers are sorted by radix."""
+    return np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 1 << 16 else depth, kind="stable")
+
+
 def suffixes(first: np.ndarray, known: int, enough: int) -> np.ndarray:
     """Suffixes in the order of their first `enough` characters, by doubling:
     `first` orders `known` of them; ranks of a suffix and of the one that begins
