@@ -296,10 +296,11 @@ def spei(df: DataFrame, keys: Sequence[str], month: str, precipitation: str, dem
 
 def recovery_curve(t: np.ndarray, y: np.ndarray) -> dict:
     """A - (A - y0) exp(-r t), A >= 0, 1e-4 <= r <= 5. For a fixed r the curve is
-    linear in A and y0, so the fit is a search for r alone."""
+    linear in A and y0, so the fit is a search for r alone. Standard errors are
+    those of the linearised model, NULL where it doesn't tell the parameters apart."""
     good = np.isfinite(t) & np.isfinite(y)
     t, y = t[good], y[good]
-    out = {"n": len(y), "converged": False} | dict.fromkeys(("a", "rate", "start", "half_life", "r2"))
+    out = {"n": len(y), "converged": False} | dict.fromkeys(("a", "rate", "start", "half_life", "r2", "a_se", "rate_se", "start_se"))
     if len(y) < 4 or len(np.unique(t)) < 3:
         return out
     t = t - t[0]
@@ -328,6 +329,11 @@ def recovery_curve(t: np.ndarray, y: np.ndarray) -> dict:
     best = (a + b) / 2
     loss, p = linear(best)
     rate, total = math.exp(best), float(((y - y.mean()) ** 2).sum())
+    e = np.exp(-rate * t)
+    j = np.stack([1 - e, (p[0] - p[1]) * t * e, e], axis=1)
+    if np.linalg.matrix_rank(j) == 3:
+        se = np.sqrt(np.diag(np.linalg.inv(j.T @ j)) * loss / (len(y) - 3))
+        out |= dict(zip(("a_se", "rate_se", "start_se"), se.tolist()))
     return out | {"converged": True, "a": float(p[0]), "rate": rate, "start": float(p[1]), "half_life": math.log(2) / rate, "r2": 1 - loss / total if total > 0 else None}
 
 
@@ -338,4 +344,4 @@ def recovery_fit(df: DataFrame, keys: Sequence[str], year: str, value: str) -> D
         pdf = pdf.sort_values(year)
         return [recovery_curve(pdf[year].to_numpy(float), pdf[value].to_numpy(float))]
 
-    return _grouped(df.select(*keys, year, value), keys, "n int, converged boolean, a double, rate double, start double, half_life double, r2 double", fit)
+    return _grouped(df.select(*keys, year, value), keys, "n int, converged boolean, a double, rate double, start double, half_life double, r2 double, a_se double, rate_se double, start_se double", fit)

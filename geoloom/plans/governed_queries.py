@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from geoloom import governance as G
 from geoloom.functions.sizes import small
 from geoloom.sources import parse
+from geoloom.sources.files import soil_properties
 
 from .registry import query
 from .roles import table
@@ -68,11 +69,14 @@ def dedup_union(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_suppkey AS site, count(*) AS n, round(sum(l_quantity), 4) AS total FROM lineitem l JOIN part ON p_partkey = l_partkey WHERE p_size = 1 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1")
 def component_join(spark: SparkSession, d: str) -> DataFrame:
-    """Two inner joins and a semi-join, as a soil survey is read: units, parts, surface layers only."""
-    for name in ("lineitem", "part", "supplier"):
-        table(spark, d, name).createOrReplaceTempView(f"geoloom_{name}")
-    return spark.sql("""SELECT l_suppkey AS site, count(*) AS n, round(sum(l_quantity), 4) AS total FROM geoloom_lineitem JOIN geoloom_part ON p_partkey = l_partkey
-        LEFT SEMI JOIN (SELECT s_suppkey FROM geoloom_supplier WHERE s_acctbal > 0) s ON s_suppkey = l_suppkey WHERE p_size = 1 GROUP BY l_suppkey""")
+    """The soil survey's joins, with suppliers as map units, lines as components
+    and parts as horizons."""
+    supplier = table(spark, d, "supplier")
+    component = table(spark, d, "lineitem").selectExpr("l_suppkey AS mukey", "l_partkey AS cokey", "l_quantity")
+    horizon = table(spark, d, "part").selectExpr("p_partkey AS cokey", "p_size - 1 AS hzdept_r")
+    units = supplier.where("s_acctbal > 0").selectExpr("s_suppkey AS mukey")
+    out = soil_properties(supplier.selectExpr("s_suppkey AS mukey"), component, horizon, units)
+    return out.groupBy(F.col("mukey").alias("site")).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 4).alias("total"))
 
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")

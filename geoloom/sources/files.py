@@ -185,6 +185,15 @@ def ignitions(df: DataFrame, box: Box, start_year: int, end_year: int) -> DataFr
     return df.where(within(box) & F.col("fire_year").between(start_year, end_year))
 
 
+def soil_properties(mapunit: DataFrame, component: DataFrame, horizon: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """Surface horizons of a soil survey's components: map units joined to
+    components by mukey and to the horizons that begin at depth 0 by cokey, of the
+    map units in `units` (mukey, repeats allowed) if it is given."""
+    if units is not None:
+        mapunit = mapunit.join(units.select("mukey"), "mukey", "left_semi")
+    return mapunit.join(component, "mukey").join(horizon.where("hzdept_r = 0"), "cokey")
+
+
 def boundary(gatekeeper, spark: SparkSession, path: str, name: str) -> DataFrame:
     """Gated: boundaries whose names have `name`, in any case; an error if there are none."""
     from geoloom.governance import Tier

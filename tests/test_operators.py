@@ -246,6 +246,13 @@ def test_recovery_curve():
     fit = N.recovery_curve(t, y)
     assert fit["a"] == pytest.approx(0.72, abs=1e-3) and fit["rate"] == pytest.approx(0.35, abs=1e-3) and fit["r2"] > 0.999
     assert not N.recovery_curve(t[:2], y[:2])["converged"]
+    assert all(fit[c] < 1e-3 for c in ("a_se", "rate_se", "start_se"))
+    noise = np.random.default_rng(3).normal(0, 0.02, (200, 10))
+    fits = [N.recovery_curve(t, y + e) for e in noise]
+    for c in ("a", "rate", "start"):
+        spread = np.std([f[c] for f in fits])
+        assert np.median([f[f"{c}_se"] for f in fits]) == pytest.approx(spread, rel=0.35)
+    assert N.recovery_curve(t, np.full(10, 0.4))["rate_se"] is None or N.recovery_curve(t, np.full(10, 0.4))["r2"] is None
 
 
 def test_emergence(spark):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom import governance as G
-from geoloom.sources import files, parse, sinks, synthetic
+from geoloom.sources import files, gated, parse, sinks, synthetic
 from geoloom.streaming import feeds
 
 BOX = (-105.85, 40.55, -105.75, 40.61)
@@ -120,6 +120,36 @@ def test_denied_load_reads_nothing(spark):
     assert not calls and len(k.log) == 1
 
 
+def test_gated_sources(spark, tmp_path):
+    ring = "array<struct<x:double,y:double>>"
+    square = [(-105.8, 40.56), (-105.79, 40.56), (-105.79, 40.57)]
+    far = [(x + 9, y) for x, y in square]
+    fires = [("1990", "600.5", square), ("1990", "90", square), ("unknown", "900", square), ("1970", "900", square), (None, None, square), ("1991", "700", far)]
+    path = str(tmp_path / "fires")
+    spark.createDataFrame(fires, f"Ig_Year string, BurnBndAc string, ring {ring}").write.parquet(path)
+    k = G.Gatekeeper("N")
+    got = gated.fire_history(k, spark, path, BOX).collect()
+    assert [(r.fire_year, r.acres) for r in got] == [(1990, 600.5)]
+    bare = gated.fire_history(k, spark, path, BOX, read=lambda s, p: s.read.parquet(p).select("ring"))
+    assert bare.count() == 5
+    points = spark.createDataFrame([(1, 2000, 40.56, -105.8), (2, 1980, 40.56, -105.8), (3, 2000, 41.0, -105.8), (4, None, 40.56, -105.8)], "FOD_ID int, FIRE_YEAR int, LATITUDE double, LONGITUDE double")
+    out = gated.fire_records(k, spark, "-", BOX, read=lambda s, p: points)
+    assert [r.fod_id for r in out.collect()] == [1]
+    shape = {"type": "Polygon", "coordinates": [[list(p) for p in [*square, square[0]]]]}
+    (tmp_path / "land.json").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"KIND": "trust"}, "geometry": shape}]}))
+    assert [r.kind for r in gated.land_status(k, spark, str(tmp_path / "land.json"), {"KIND": "string"}, BOX).collect()] == ["trust"]
+    assert [e[2] for e in k.log] == ["fire_history", "fire_history", "ignitions", "land_status"]
+
+
+def test_soil_properties(spark):
+    units = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "mukey int, muname string")
+    parts = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (None, 13)], "mukey int, cokey int")
+    layers = spark.createDataFrame([(10, 0, 3.0), (10, 20, 1.0), (11, 5, 2.0), (12, 0, 4.0), (13, 0, 9.0)], "cokey int, hzdept_r int, om_r double")
+    asked = spark.createDataFrame([(1,), (1,), (None,)], "mukey int")
+    assert [r.om_r for r in files.soil_properties(units, parts, layers, asked).collect()] == [3.0]
+    assert files.soil_properties(units, parts, layers).count() == 2
+
+
 def test_guard(spark):
     fine = spark.createDataFrame([("house",), ("barn",)], "kind string")
     assert G.suspicious(fine) == [] and G.guard(fine) is fine
