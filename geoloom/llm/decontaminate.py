@@ -14,7 +14,8 @@ these. This loses no run.
 
 The automaton is broadcast, as flat arrays of some 80 bytes a token. Its size is
 bounded: items are taken in shards of `shard_tokens` tokens, one pass over the documents for each, so that a large
-benchmark costs passes and not memory.
+benchmark costs passes and not memory. `decontaminate` makes these passes over
+each batch in one Python worker a task, with one shard in memory at a time.
 
 Defined cases: NULL text is ''; items of NULL or fewer than `least` tokens match
 nothing; rows of NULL doc_id have no reported spans, but their texts are cut
@@ -247,41 +248,35 @@ def _lower(c: str) -> str:
     return low if len(low) == 1 else c
 
 
-def _note(shared, name: str):
-    """Adds the spans of a shard to those in column `name`, as starts and ends in turn."""
+def _cut(shared: list, chars: bool):
+    """Cuts what the shards' matchers find, all of it found in the texts as they
+    come. One worker takes shard after shard and keeps one of them in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            noted: dict[int, list[tuple[int, int]]] = {}
+            for matcher in shared:
+                at = 0
+                for part in slices(whole):
+                    for row, spans in matcher.value.spans(part.column("text")).items():
+                        noted.setdefault(at + row, []).extend(spans)
+                    at += part.num_rows
+                if len(shared) > 1:
+                    matcher.__dict__.pop("_value", None)  # read again from the executor's disk
+            at = 0
             for part in slices(whole):
-                found = shared.value.spans(part.column("text"))
-                if found:
-                    noted = part.column(name).to_pylist()
-                    for row, spans in found.items():
-                        noted[row] = [*(noted[row] or []), *(x for span in spans for x in span)]
-                    part = put(part, name, noted)
-                yield part
-
-    return run
-
-
-def _cut(name: str, chars: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in slices(whole):
-                noted = part.column(name)
-                rows = np.flatnonzero(noted.is_valid().to_numpy(zero_copy_only=False)).tolist()
-                part = part.drop_columns([name])
+                rows = [row for row in range(part.num_rows) if at + row in noted]
                 if rows:
                     texts = part.column("text").to_pylist()
                     for row in rows:
-                        x = noted[row].as_py()
-                        texts[row] = cut(texts[row], union(list(zip(x[::2], x[1::2]))))
+                        texts[row] = cut(texts[row], union(noted[at + row]))
                     part = put(part, "text", texts)
                     if chars:
                         sizes = part.column("n_chars").to_pylist()
                         for row in rows:
                             sizes[row] = len(texts[row])
                         part = put(part, "n_chars", sizes)
+                at += part.num_rows
                 yield part
 
     return run
@@ -297,13 +292,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, c
     """The documents, all columns and rows, with the spans cut from text and
     n_chars, if there is such an integer column, the new length of changed texts."""
     chars = any(f.name == "n_chars" and isinstance(f.dataType, (T.IntegerType, T.LongType)) for f in docs.schema)
-    name, schema = "spans", docs.schema
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
-    noted = docs.withColumn(name, F.lit(None).cast("array<bigint>"))
-    for matcher in _matchers(benchmark, length, coverage, least, shard_tokens):
-        noted = noted.mapInArrow(_note(docs.sparkSession.sparkContext.broadcast(matcher), name), noted.schema)
-    return noted.mapInArrow(_cut(name, chars), schema)
+    spark = docs.sparkSession.sparkContext
+    shared = [spark.broadcast(x) for x in _matchers(benchmark, length, coverage, least, shard_tokens)]
+    return docs.mapInArrow(_cut(shared, chars), docs.schema)
 
 
 SQL = f"""

@@ -49,6 +49,8 @@ NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Units, and pairs of pieces, that a process remembers; then it forgets and learns anew.
 KEEP, KEEP_PAIRS = 100_000, 800_000
+#: Characters of units that are matched at once; a longer unit is matched alone.
+LEARN = 1 << 17
 
 
 class Model:
@@ -160,21 +162,15 @@ class Model:
         width = -(-self.longest // 3)
         padded = np.zeros(n + 3 * width, np.uint64)
         padded[:n] = text + np.uint64(1)
-        keys = [padded[3 * k : 3 * k + n] << np.uint64(42) | padded[3 * k + 1 : 3 * k + 1 + n] << np.uint64(21) | padded[3 * k + 2 : 3 * k + 2 + n] for k in range(width)]
-        at = suffixes(keys[0], 3, self.longest)
+        three = lambda k: padded[3 * k : 3 * k + n] << np.uint64(42) | padded[3 * k + 1 : 3 * k + 1 + n] << np.uint64(21) | padded[3 * k + 2 : 3 * k + 2 + n]
+        at = suffixes(three(0), 3, self.longest)
         starts, sizes, pieces = [], [], []
-        #: Ranks of suffixes by their first 3, 6, .. characters, for the searches.
-        rank = np.zeros(n, np.int64)
-        levels = []
-        for key in keys:
-            k = key[at]
-            change = np.append(False, (k[1:] != k[:-1]) | (rank[1:] != rank[:-1]))
-            levels.append((k, rank))
-            rank = np.cumsum(change)
+        #: Characters 1 to 3, 4 to 6, .. of the suffixes in their order, for the searches.
+        levels = [three(k)[at] for k in range(width)]
         for size, (own, codes) in self.by_size.items():
             lo, hi = np.zeros(len(own), np.int64), np.full(len(own), n)
             for level in range(-(-size // 3)):
-                k = levels[level][0]
+                k = levels[level]
                 part = np.zeros((len(own), 3), np.uint64)
                 part[:, : min(3, size - 3 * level)] = codes[:, 3 * level : 3 * level + 3] + np.uint64(1)
                 low = part[:, 0] << np.uint64(42) | part[:, 1] << np.uint64(21) | part[:, 2]
@@ -296,7 +292,12 @@ class Model:
             self.forget()
         fresh = list(set(units) - self.known.keys())
         if fresh:
-            self.learn(fresh)
+            ends = np.cumsum([len(u) for u in fresh])
+            at = 0
+            while at < len(fresh):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LEARN, "right")))
+                self.learn(fresh[at:to])
+                at = to
             self._settle()
         if not units:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)

@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +208,37 @@ def test_shards_cut_what_one_shard_cuts(spark):
     assert {r.doc_id for r in decontaminate.contaminated_spans(d, b, shard_tokens=10).collect()} == {1, 2}
 
 
+def test_shards_take_one_python_worker_a_task(spark):
+    d = spark.createDataFrame([(i, prose(40 + i, 30)) for i in range(6)], "doc_id bigint, text string")
+    for items in (1, 4):
+        b = spark.createDataFrame([(i, prose(40 + i, 20)) for i in range(items)], "item_id bigint, text string")
+        out = decontaminate.decontaminate(d, b, shard_tokens=10)
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert [len(r.text.split()) for r in out.orderBy("doc_id").collect()] == [10] * items + [30] * (6 - items)
+
+
+def test_a_worker_holds_one_shard():
+    class Shared:
+        most = 0
+
+        def __init__(self, texts):
+            self.texts = texts
+
+        @property
+        def value(self):
+            if "_value" not in self.__dict__:
+                self._value = decontaminate.Matcher(self.texts, 13, 0.8, 5)
+            Shared.most = max(Shared.most, sum("_value" in x.__dict__ for x in shared))
+            return self._value
+
+    shared = [Shared([prose(40 + i, 20)]) for i in range(3)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1, 2, 3], "text": [prose(40 + i, 30) for i in range(4)]})
+    for _ in range(2):
+        out = list(decontaminate._cut(shared, False)(iter([batch, batch])))
+        assert [len(t.split()) for x in out for t in x.column("text").to_pylist()] == [10, 10, 10, 30] * 2
+    assert Shared.most == 1
+
+
 def test_automaton_is_flat_and_finds_longest_matches():
     rng = np.random.default_rng(4)
     items = [rng.integers(0, 6, rng.integers(5, 30)).tolist() for _ in range(40)]

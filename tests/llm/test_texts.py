@@ -1,5 +1,7 @@
 """Personal data, token ids, URLs, neighbours."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -158,6 +160,22 @@ def test_forgetting_changes_nothing(monkeypatch):
     assert [i for t in texts for i in model.encode([t])[0].tolist()] == whole
 
 
+def test_memory_of_a_batch_of_new_units():
+    import sentencepiece as public
+
+    with open(sentencepiece.MODEL, "rb") as f:
+        model = sentencepiece.Model(f.read())
+    rng = np.random.default_rng(6)
+    letters = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (60_000, 7))
+    text = " ".join("".join(x) for x in letters.tolist())
+    tracemalloc.start()
+    ids = model.encode([text])[0].tolist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6, peak
+    assert ids == public.SentencePieceProcessor(model_file=sentencepiece.MODEL).encode(text)
+
+
 def test_url_filter_on_urls_not_seen(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     seeds = urlfilter.seeded(pages)
