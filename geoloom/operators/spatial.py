@@ -77,7 +77,9 @@ def distance_weighted(assets: DataFrame, key: str, px: str, py: str, cells: Data
     lengths, weighted by exp(-distance / decay); NULL for an asset with none in
     reach. With `degrees`, positions are degrees and decays kilometres. A band
     join: both sides carry the square of side 3 decays, cells repeat to the
-    squares around theirs."""
+    squares around theirs. Cells whose square isn't beside the box of the assets'
+    squares meet none and are left out. The repeated cells are never broadcast:
+    Spark takes them for the size of their file."""
     if degrees:
         assets, cells = in_km(assets, px, py, cells), in_km(cells, "x", "y", cells)
     parts = []
@@ -85,11 +87,14 @@ def distance_weighted(assets: DataFrame, key: str, px: str, py: str, cells: Data
         reach = 3.0 * decay
         bin_ = lambda c: F.floor(F.col(c) / reach)
         around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+        a = assets.select(key, px, py, bin_(px).alias("bx"), bin_(py).alias("by"))
+        box = a.agg(*[f(b).alias(f"_{f.__name__}_{b}") for b in ("bx", "by") for f in (F.min, F.max)])  # one row
+        beside = lambda c, b: bin_(c).between(F.col(f"_min_{b}") - 1, F.col(f"_max_{b}") + 1)
         c = cells.where(F.col(hazard).isNotNull()).select(F.col("x").alias("cx"), F.col("y").alias("cy"), F.col(hazard).alias("h"))
+        c = c.join(F.broadcast(box), beside("cx", "bx") & beside("cy", "by")).select("cx", "cy", "h")
         c = c.select("*", F.explode(F.transform(around, lambda d: bin_("cx") + d)).alias("bx")).select("*", F.explode(F.transform(around, lambda d: bin_("cy") + d)).alias("by"))
-        a = assets.select(key, px, py, bin_(px).alias("bx"), bin_(py).alias("by"))
         away = F.hypot(F.col(px) - F.col("cx"), F.col(py) - F.col("cy"))
-        near = a.join(c, ["bx", "by"]).withColumn("away", away).where(F.col("away") <= reach).withColumn("w", F.exp(-F.col("away") / decay))
+        near = a.join(c.hint("merge"), ["bx", "by"]).withColumn("away", away).where(F.col("away") <= reach).withColumn("w", F.exp(-F.col("away") / decay))
         found = near.groupBy(key).agg(F.try_divide(F.sum(F.col("h") * F.col("w")), F.sum("w")).alias("exposure"))
         parts.append(assets.select(key).join(found, key, "left").withColumn("decay", F.lit(float(decay))))
     out = parts[0]

@@ -202,6 +202,23 @@ def test_distance_in_kilometres_keeps_lonely_assets(spark):
     assert got == {1: pytest.approx((1 + 5 * w) / (1 + w)), 2: None}
 
 
+def test_repeated_cells_are_not_broadcast(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    spark.createDataFrame([(float(i % 40), float(i // 40), float(i % 7)) for i in range(4000)], "x double, y double, h double").write.parquet(f"{tmp_path}/c")
+    places = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-6, 30, (60, 2)))]
+    cells, a = spark.read.parquet(f"{tmp_path}/c"), spark.createDataFrame([*places, (60, None, 1.0), (61, 900.0, 1.0)], "id int, px double, py double")
+    d = S.distance_weighted(a, "id", "px", "py", cells, "h", (0.8, 1.5))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin [bx") == 2 and "BroadcastHashJoin [bx" not in plan
+    got = {(r.id, r.decay): r.exposure for r in d.collect()}
+    assert len(got) == 124 and all(got[i, k] is None for i in (60, 61) for k in (0.8, 1.5))
+    at = [(float(i % 40), float(i // 40), float(i % 7)) for i in range(4000)]
+    for i, x, y in places:
+        for k in (0.8, 1.5):
+            near = [(h, math.exp(-math.hypot(x - cx, y - cy) / k)) for cx, cy, h in at if math.hypot(x - cx, y - cy) <= 3 * k]
+            assert got[i, k] == (pytest.approx(sum(h * w for h, w in near) / sum(w for _, w in near)) if near else None)
+
+
 def test_whole_table_ranks_and_q_values(spark):
     from geoloom.functions import sizes
 
