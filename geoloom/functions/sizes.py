@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,21 +35,23 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if is_small(df, most) else df
 
 
-def running(df: DataFrame, order: Column, how: str = "sum", value: str | None = None, out: str = "running", name: str = "running") -> DataFrame:
-    """df with a running sum or minimum over the whole table, by ranges: each
-    partition runs by itself and adds what the ones before it have. Rows that
-    are equal in `order` fall into one partition; a row for each partition is
-    all that is ordered in one task."""
+def running(df: DataFrame, order: Column, how: str = "sum", value: str | None = None, out: str = "running", name: str = "running", keys: Sequence[str] = ()) -> DataFrame:
+    """df with a running sum or minimum over the whole table, or for each of
+    `keys`, by ranges: each partition runs by itself and adds what the ones
+    before it have. Rows that are equal in `keys` and `order` fall into one
+    partition. What is carried on is a row for each partition at most, as keys
+    that begin in it need none; without keys these rows are ordered in one task."""
     f = {"sum": F.sum, "min": F.min}[how]
-    d = df.repartitionByRange(order).withColumn("_range", F.spark_partition_id())
+    d = df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id())
     d = cut(d, name)
-    own = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ends = d.groupBy("_range").agg(f(value).alias("_end"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("_range", f("_end").over(before).alias("_before"))
+    own = Window.partitionBy("_range", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = d.groupBy("_range", *keys).agg(f(value).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("_range").alias("_at"), *[F.col(k).alias(f"_key_{k}") for k in keys], f("_end").over(before).alias("_before")).where("_before IS NOT NULL")
     mine = f(value).over(own)
     both = mine + F.coalesce("_before", F.lit(0)) if how == "sum" else F.least(mine, F.col("_before"))
-    return d.join(F.broadcast(ends), "_range").withColumn(out, both).drop("_range", "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return d.join(F.broadcast(ends), reduce(and_, same, F.col("_range") == F.col("_at")), "left").withColumn(out, both).drop("_range", "_at", "_before", *[f"_key_{k}" for k in keys])
 
 
 def ranked(df: DataFrame, order: Column, value: str, out: str = "rank") -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 from statistics import NormalDist
 
 import numpy as np
@@ -51,21 +53,17 @@ def mann_kendall(df: DataFrame, keys: Sequence[str], time: str, value: str, leas
 
 
 def fdr(df: DataFrame, p: str = "p", keys: Sequence[str] = ()) -> DataFrame:
-    """df with q, the Benjamini-Hochberg value of each p (NULL for NULL). Without
-    keys, as for all cells of a map, ranges of p run up instead of one window."""
-    if not keys:
-        known = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_n"))
-        upto = running(known, F.col(p), "sum", "_n", "_upto", "fdr")
-        raw = upto.crossJoin(F.broadcast(known.agg(F.sum("_n").alias("_m")))).select(F.col(p).alias("_p"), (F.col(p) * F.col("_m") / F.col("_upto")).alias("_raw"))
-        q = running(raw, F.desc("_p"), "min", "_raw", "_q", "fdr").select("_p", F.least("_q", F.lit(1.0)).alias("q"))
-        return df.join(q, F.col(p) == F.col("_p"), "left").drop("_p")
-    part = Window.partitionBy(*keys, F.col(p).isNull())
-    order = part.orderBy(p)
-    m = F.count(p).over(part)
-    raw = F.col(p) * m / F.row_number().over(order)
-    d = df.withColumn("_raw", raw)
-    q = F.min("_raw").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return d.withColumn("q", F.when(F.col(p).isNotNull(), F.least(q, F.lit(1.0)))).drop("_raw")
+    """df with q, the Benjamini-Hochberg value of each p (NULL for NULL), for
+    each of `keys`. Ranges of the distinct p run up instead of one window a key."""
+    own = [f"_k{i}" for i in range(len(keys))]
+    known = df.where(F.col(p).isNotNull()).groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    upto = running(known, F.col("_p"), "sum", "_n", "_upto", "fdr", own)
+    m = known.groupBy(*[F.col(o).alias(f"_of{o}") for o in own]).agg(F.sum("_n").alias("_m"))
+    every = upto.join(m, reduce(and_, [F.col(o).eqNullSafe(F.col(f"_of{o}")) for o in own])) if own else upto.crossJoin(F.broadcast(m))
+    raw = every.select(*own, "_p", (F.col("_p") * F.col("_m") / F.col("_upto")).alias("_raw"))
+    q = running(raw, F.desc("_p"), "min", "_raw", "_q", "fdr", own).select(*own, "_p", F.least("_q", F.lit(1.0)).alias("q"))
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own)]
+    return df.join(q, reduce(and_, same, F.col(p) == F.col("_p")), "left").drop("_p", *own)
 
 
 # Grouped fits: plain functions of arrays, and the DataFrame calls around them.

@@ -321,6 +321,23 @@ def test_dominant_entity_keeps_its_rank(spark):
     assert 0.6 < C.rank_stability(sens, "k").first().stability <= 1
 
 
+def test_q_values_by_key_have_no_window_of_a_whole_key(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, None if i % 50 == 7 else float(x), [None, "a", "b"][i % 3]) for i, x in enumerate(rng.integers(0, 400, 3000) / 1000)]
+    d = N.fdr(spark.createDataFrame([*rows, (3000, 0.4, "lone"), (3001, None, "none")], "id int, p double, k string").repartition(5), keys=["k"])
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan and "currentrow$(), unbounded" not in plan.lower()
+    got = {r.id: r.q for r in d.collect()}
+    assert len(got) == 3002 and got[3000] == 0.4 and got[3001] is None
+    for k in (None, "a", "b"):
+        mine = sorted((p, i) for i, p, of in rows if of == k and p is not None)
+        low = 1.0
+        for n in range(len(mine), 0, -1):
+            low = min(low, mine[n - 1][0] * len(mine) / n)
+            assert got[mine[n - 1][1]] == pytest.approx(low)
+    assert all(got[i] is None for i, p, _ in rows if p is None)
+
+
 def test_capacity_refusals(spark):
     with pytest.raises(ValueError):
         C.adaptive_capacity(spark, {"nothing": 1.0})
