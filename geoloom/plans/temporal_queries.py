@@ -9,7 +9,7 @@ from geoloom.operators import temporal as T
 from geoloom.operators import zonal as Z
 
 from .registry import query
-from .roles import CUBE, FLOW, MONTHLY, cube, flow, monthly, table
+from .roles import CUBE, FLOW, MONTHLY, cube, flow, monthly, red_in_order, table
 
 
 def _round(df: DataFrame, *columns: str, n: int = 6) -> DataFrame:
@@ -164,7 +164,7 @@ def rolling_sum(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {CUBE} SELECT cell, round(CAST(count_if(red < 5) AS DOUBLE) / nullif(count(red), 0), 6) AS frequency FROM cube GROUP BY cell""")
 def bare_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return _round(Z.bare_frequency(cube(spark, d), "cell", "red", 5), "frequency")
+    return _round(Z.bare_frequency(red_in_order(spark, d), "cell", "red", 5), "frequency")
 
 
 @query(f"""WITH {CUBE} SELECT cell, round(median(nir), 9) AS median, round(regr_slope(nir, epoch(make_date(year, 1, 1)) / 31557600.0), 5) AS slope, count(*) AS n FROM cube GROUP BY cell""")

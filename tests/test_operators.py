@@ -338,6 +338,27 @@ def test_q_values_by_key_have_no_window_of_a_whole_key(spark):
     assert all(got[i] is None for i, p, _ in rows if p is None)
 
 
+def test_bare_frequency_follows_the_rows_of_the_file(spark, tmp_path):
+    """Sums of discounts that make 5 % but for the last digit, over several row groups."""
+    import pandas as pd
+
+    from geoloom.plans import registry
+
+    rng = np.random.default_rng(11)
+    n = 60_000
+    d = pd.DataFrame({"l_partkey": rng.integers(0, 900, n), "l_discount": rng.choice([0.01, 0.03, 0.05, 0.07, 0.09], n), "l_extendedprice": 1.0, "l_tax": 0.0, "l_shipdate": pd.to_datetime(rng.integers(1992, 1999, n).astype(str))})
+    d.to_parquet(tmp_path / "lineitem.parquet", row_group_size=2_000, coerce_timestamps="us")
+    sums = d.groupby([d.l_partkey, d.l_shipdate.dt.year]).l_discount.agg(lambda v: np.cumsum(v.to_numpy())[-1] / len(v) * 100 < 5)
+    want = sums.groupby(level=0).mean().round(6)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = {r.cell: r.frequency for r in registry.QUERIES["bare_frequency"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == pytest.approx(want.to_dict(), abs=2e-6)
+
+
 def test_capacity_refusals(spark):
     with pytest.raises(ValueError):
         C.adaptive_capacity(spark, {"nothing": 1.0})
