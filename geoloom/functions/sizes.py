@@ -35,6 +35,12 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if is_small(df, most) else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df never broadcast in a join. Spark takes a table for the bytes of its
+    file; in memory, repeated or well compressed rows are many times that."""
+    return df.hint("merge")
+
+
 def running(df: DataFrame, order: Column, how: str = "sum", value: str | None = None, out: str = "running", name: str = "running", keys: Sequence[str] = ()) -> DataFrame:
     """df with a running sum or minimum over the whole table, or for each of
     `keys`, by ranges: each partition runs by itself and adds what the ones

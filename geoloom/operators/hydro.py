@@ -3,7 +3,8 @@
 Cells are rows (cell, y, x, ...). A cell drains into at most one neighbour, so
 the flow is a forest; sums along it take pointer doubling, as many rounds as
 the logarithm of the longest path. Each round is written to the shared folder:
-plans stay short and a lost executor costs one round."""
+plans stay short and a lost executor costs one round. Tables of cells are shuffled
+and never broadcast, whatever their files' sizes make Spark think."""
 
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions.lineage import cut, discard
-from geoloom.functions.sizes import running
+from geoloom.functions.sizes import running, shuffled
 
 #: Directions 0 to 7 as (dy, dx): E, NE, N, NW, W, SW, S, SE; y grows southwards.
 OFFSETS = ((0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1))
@@ -57,8 +58,16 @@ def flow_edges(directions: DataFrame) -> DataFrame:
     k = F.col("direction")
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.greatest(k, F.lit(0)) + 1)
     at = directions.where("direction >= 0").select("cell", (F.col("y") + pick([a for a, _ in OFFSETS])).alias("y"), (F.col("x") + pick([b for _, b in OFFSETS])).alias("x"), pick(DISTANCE).alias("dist"))
-    hit = at.join(directions.select(F.col("cell").alias("next"), "y", "x"), ["y", "x"]).select("cell", "next", "dist")
-    return directions.select("cell").join(hit, "cell", "left")
+    hit = at.join(shuffled(directions.select(F.col("cell").alias("next"), "y", "x")), ["y", "x"]).select("cell", "next", "dist")
+    return directions.select("cell").join(shuffled(hit), "cell", "left")
+
+
+def _follow(df: DataFrame, after: DataFrame) -> DataFrame:
+    """df with what `after` has of the next cell. Rows without one, most of them
+    in the end, go to partitions by their own cell, not all to that of NULL."""
+    own = F.when(F.col("next").isNull(), F.pmod(F.hash("cell"), F.lit(997))).otherwise(F.lit(0))
+    none = F.pmod(F.hash("next"), F.lit(1))
+    return df.withColumn("_own", own).join(shuffled(after.withColumn("_own", none)), ["next", "_own"], "left").drop("_own")
 
 
 def accumulate(edges: DataFrame, weights: dict[str, Column] | None = None) -> DataFrame:
@@ -70,7 +79,7 @@ def accumulate(edges: DataFrame, weights: dict[str, Column] | None = None) -> Da
     while now.where("next IS NOT NULL").limit(1).count():
         gain = now.where("next IS NOT NULL").groupBy(F.col("next").alias("cell")).agg(*[F.sum(n).alias(f"_{n}") for n in names])
         after = now.select(F.col("cell").alias("next"), F.col("next").alias("_next"))
-        step = now.join(gain, "cell", "left").join(after, "next", "left")
+        step = _follow(now.join(shuffled(gain), "cell", "left"), after)
         before, now = now, cut(step.select("cell", F.col("_next").alias("next"), *[(F.col(n) + F.coalesce(F.col(f"_{n}"), F.lit(0.0))).alias(n) for n in names]), "flow")
         discard(before)
     return now.select("cell", *names)
@@ -83,7 +92,7 @@ def downstream(edges: DataFrame, cost: Column, stop: Column) -> DataFrame:
     now = cut(edges.select("cell", F.when(~ends, F.col("next")).alias("next"), F.when(ends, 0.0).otherwise(cost).alias("cost"), F.when(ends, F.col("cell")).otherwise(F.col("next")).alias("last")), "path")
     while now.where("next IS NOT NULL").limit(1).count():
         after = now.select(F.col("cell").alias("next"), F.col("next").alias("_next"), F.col("cost").alias("_cost"), F.col("last").alias("_last"))
-        step = now.join(after, "next", "left")
+        step = _follow(now, after)
         before, now = now, cut(step.select("cell", F.col("_next").alias("next"), (F.col("cost") + F.coalesce("_cost", F.lit(0.0))).alias("cost"), F.coalesce("_last", "last").alias("last")), "path")
         discard(before)
     return now.select("cell", "cost", "last")
@@ -101,21 +110,21 @@ def connectivity(edges: DataFrame, threshold: float, size: float = 1.0, least_sl
     w = F.least(F.greatest("impedance", F.lit(0.01)), F.lit(1.0))
     e = cut(edges.withColumns({"s": s, "w": w}), "connect")
     up = accumulate(e, {"n": F.lit(1.0), "sw": F.col("w"), "ss": F.col("s")})
-    e = e.join(up, "cell")
+    e = e.join(shuffled(up), "cell")
     down = downstream(e, size * F.col("dist") / (F.col("w") * F.col("s")), F.col("n") >= threshold)
     d_up = (F.col("sw") / F.col("n")) * (F.col("ss") / F.col("n")) * F.sqrt(F.col("n") * size * size)
     d_down = F.when(F.col("cost") <= 0, size / 2).otherwise(F.col("cost"))
-    return up.join(down, "cell").select("cell", F.log10(d_up / d_down).alias("ic"))
+    return up.join(shuffled(down), "cell").select("cell", F.log10(d_up / d_down).alias("ic"))
 
 
 def subwatersheds(edges: DataFrame, heights: DataFrame, least: int = 200) -> DataFrame:
     """(cell, basin): basins by their sinks, numbered by the sinks' heights (ties
     by cell); basins of fewer than `least` cells are left out. heights: (cell, height)."""
     ends = downstream(edges, F.lit(0.0), F.lit(False)).select("cell", F.col("last").alias("sink"))
-    sinks = ends.groupBy("sink").agg(F.count("*").alias("n")).join(heights.select(F.col("cell").alias("sink"), "height"), "sink")
+    sinks = ends.groupBy("sink").agg(F.count("*").alias("n")).join(shuffled(heights.select(F.col("cell").alias("sink"), "height")), "sink")
     one = sinks.withColumn("_one", F.lit(1))
     numbered = running(one, F.struct("height", "sink"), "sum", "_one", "basin", "basins").withColumn("basin", F.col("basin").cast("int")).where(F.col("n") >= least)
-    return ends.join(numbered.select("sink", "basin"), "sink").select("cell", "basin")
+    return ends.join(shuffled(numbered.select("sink", "basin")), "sink").select("cell", "basin")
 
 
 def flood(z: np.ndarray, epsilon: float = 0.0) -> np.ndarray:
@@ -169,10 +178,10 @@ def fill_by_relaxation(df: DataFrame, value: str = "elevation", rounds_a_check:
         for _ in range(rounds_a_check):
             low = F.least(*[F.col(f"n{k}") for k in range(8)])
             around = neighbours(step, "w").select("cell", low.alias("low"))
-            last, step = step, cut(step.join(around, "cell").withColumn("w", F.when(F.col("edge"), z).otherwise(F.least("w", F.greatest(z, "low")))).drop("low"), "fill")
+            last, step = step, cut(step.join(shuffled(around), "cell").withColumn("w", F.when(F.col("edge"), z).otherwise(F.least("w", F.greatest(z, "low")))).drop("low"), "fill")
             if last is not now:
                 discard(last)
-        moved = step.select("cell", F.col("w").alias("v")).join(now.select("cell", "w"), "cell").where("v <> w").limit(1).count()
+        moved = step.select("cell", F.col("w").alias("v")).join(shuffled(now.select("cell", "w")), "cell").where("v <> w").limit(1).count()
         discard(now)
         now = step
         if not moved:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions.columns import in_polygon
-from geoloom.functions.sizes import is_small, small
+from geoloom.functions.sizes import is_small, shuffled, small
 
 
 def polygons(spark, rings: Mapping[str, Sequence[tuple[float, float]]]) -> DataFrame:
@@ -94,7 +94,7 @@ def distance_weighted(assets: DataFrame, key: str, px: str, py: str, cells: Data
         c = c.join(F.broadcast(box), beside("cx", "bx") & beside("cy", "by")).select("cx", "cy", "h")
         c = c.select("*", F.explode(F.transform(around, lambda d: bin_("cx") + d)).alias("bx")).select("*", F.explode(F.transform(around, lambda d: bin_("cy") + d)).alias("by"))
         away = F.hypot(F.col(px) - F.col("cx"), F.col(py) - F.col("cy"))
-        near = a.join(c.hint("merge"), ["bx", "by"]).withColumn("away", away).where(F.col("away") <= reach).withColumn("w", F.exp(-F.col("away") / decay))
+        near = a.join(shuffled(c), ["bx", "by"]).withColumn("away", away).where(F.col("away") <= reach).withColumn("w", F.exp(-F.col("away") / decay))
         found = near.groupBy(key).agg(F.try_divide(F.sum(F.col("h") * F.col("w")), F.sum("w")).alias("exposure"))
         parts.append(assets.select(key).join(found, key, "left").withColumn("decay", F.lit(float(decay))))
     out = parts[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.functions.sizes import shuffled
 from geoloom.operators import hydro as H
 
 from .registry import query
@@ -22,7 +23,7 @@ last AS (SELECT p.origin AS cell, p.spot, p.cost FROM path p JOIN costs e ON p.s
 
 def _edges(spark, d) -> DataFrame:
     c = cells(spark, d)
-    return H.flow_edges(H.flow_direction(c)).join(c.select("cell", "slope", "elevation"), "cell")
+    return H.flow_edges(H.flow_direction(c)).join(shuffled(c.select("cell", "slope", "elevation")), "cell")
 
 
 @query(f"WITH {_D8} SELECT cell, CAST(coalesce(k, -1) AS TINYINT) AS direction FROM edges")
@@ -46,7 +47,7 @@ def stream_cells(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_D8}, {_UP}, acc AS (SELECT spot AS cell, count(*) AS n FROM walk GROUP BY 1), costs AS (SELECT e.cell, nxt, dist AS step, n >= 6 AS stop FROM edges e JOIN acc USING (cell)), {_PATH} SELECT cell, round(cost, 6) AS distance, spot AS last FROM last")
 def distance_to_stream(spark: SparkSession, d: str) -> DataFrame:
     e = _edges(spark, d)
-    e = e.join(H.accumulate(e), "cell")
+    e = e.join(shuffled(H.accumulate(e)), "cell")
     return H.downstream(e, F.col("dist"), F.col("accumulation") >= 6).select("cell", F.round("cost", 6).alias("distance"), "last")
 
 

@@ -359,6 +359,29 @@ def test_bare_frequency_follows_the_rows_of_the_file(spark, tmp_path):
     assert got == pytest.approx(want.to_dict(), abs=2e-6)
 
 
+def test_tables_of_cells_are_not_broadcast(spark, tmp_path, monkeypatch):
+    dem(spark, valley(12)).write.parquet(f"{tmp_path}/c")
+    cells = spark.read.parquet(f"{tmp_path}/c")
+    plans, cut = [], H.cut
+    monkeypatch.setattr(H, "cut", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, name))
+    e = H.flow_edges(H.flow_direction(cells))
+    up = H.accumulate(e)
+    down = H.downstream(e, F.col("dist"), F.lit(False))
+    assert len(plans) > 6 and not any("Broadcast" in p for p in plans)
+    assert any("_own" in p and "SortMergeJoin [next" in p for p in plans)
+    edges = {r.cell: (r.next, r.dist) for r in e.collect()}
+    n, far = dict.fromkeys(edges, 0), {}
+    for c in edges:
+        at, cost = c, 0.0
+        n[at] += 1
+        while edges[at][0] is not None:
+            at, cost = edges[at][0], cost + edges[at][1]
+            n[at] += 1
+        far[c] = (pytest.approx(cost), at)
+    assert {r.cell: r.accumulation for r in up.collect()} == n
+    assert {r.cell: (r.cost, r.last) for r in down.collect()} == far
+
+
 def test_capacity_refusals(spark):
     with pytest.raises(ValueError):
         C.adaptive_capacity(spark, {"nothing": 1.0})
